@@ -198,7 +198,7 @@ def fixed_size_sample(df: DataFrame, size: int, *, seed: int = 42, fan_in: int =
             columns = [*map(list, zip(*rows)), [number] * len(rows), [file.seen] * len(rows)]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    def merge(level: int, key: tuple, rows: pa.Table) -> pa.Table:
+    def merge(key: tuple, rows: pa.Table, level: int) -> pa.Table:
         rng = np.random.default_rng([seed, level, rows.num_rows, key[0].as_py()])
         ids, pops = rows[SHARD].to_numpy(), rows[POPULATION].to_numpy()
         order = np.argsort(ids, kind="stable")
@@ -212,7 +212,10 @@ def fixed_size_sample(df: DataFrame, size: int, *, seed: int = 42, fan_in: int =
     shards, level = flat.rdd.getNumPartitions(), 1
     sample = flat.mapInArrow(shard, kept)
     while level == 1 or shards > 1:
-        merging = lambda key, rows, level=level: merge(level, key, rows)
+
+        def merging(key: tuple, rows: pa.Table) -> pa.Table:
+            return merge(key, rows, level)
+
         sample = sample.groupBy(F.floor(F.col(SHARD) / fan_in).cast("bigint").alias("_group")).applyInArrow(merging, kept)
         shards, level = -(-shards // fan_in), level + 1
     return sample.select(*names).toDF(*df.columns)
