@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orebody.llm.chosen_path import similar_classes, similar_pairs
+from orebody.llm.cooccur import cooccurring_pairs
 from orebody.llm.iceberg import frequent_items
 from orebody.llm.reservoir import fixed_size_sample
 from orebody.llm.seen import seen_before, wrong_answer_rate
@@ -60,3 +62,45 @@ SELECT tag, count(*) AS n FROM t WHERE tag IS NOT NULL GROUP BY tag HAVING count
 
 QUERIES = {"p1_sample": p1_sample, "p2_found": p2_found, "p2_rate": p2_rate, "p3_found": p3_found, "p3_counts": p3_counts}
 SQL = {"p2_found": P2_SQL, "p2_rate": P2_RATE_SQL, "p3_found": f"SELECT tag FROM ({P3_SQL})", "p3_counts": P3_SQL}
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of businesses whose user sets have Jaccard similarity 0.5 or more."""
+    pairs = similar_pairs(table(spark, sf_dir, "yelp_train"), record="business_id", token="user_id", threshold=0.5, min_size=5)
+    return pairs.selectExpr("record_1 AS business_id_1", "record_2 AS business_id_2")
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each business, the class of businesses with the same users, and how many similar classes that has."""
+    members, classes = similar_classes(table(spark, sf_dir, "yelp_train"), record="business_id", token="user_id", threshold=0.5, min_size=5)
+    ends = classes.select(F.explode(F.array("class_1", "class_2")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+    return members.join(ends, "class_id", "left").select("business_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def p5_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of businesses met together in at least 8 baskets and 5 times as often as by chance, with their counts."""
+    pairs = cooccurring_pairs(table(spark, sf_dir, "yelp_train"), basket="user_id", item="business_id", min_both=8, min_ratio=5)
+    return pairs.select(F.col("item_1").alias("business_id_1"), F.col("item_2").alias("business_id_2"), "n_both", "n_1", "n_2", "n_baskets", F.round("ratio", 6).alias("ratio"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_lift(spark, sf_dir).select("business_id_1", "business_id_2")
+
+
+_SETS = """
+WITH x AS (SELECT DISTINCT business_id AS b, user_id AS u FROM yelp_train WHERE business_id IS NOT NULL AND user_id IS NOT NULL),
+     n AS (SELECT b, count(*) AS n FROM x GROUP BY b)"""
+P4_SQL = f"""{_SETS},
+     y AS (SELECT x.*, n FROM x JOIN n USING (b) WHERE n >= 5)
+SELECT p.b AS business_id_1, q.b AS business_id_2 FROM y p JOIN y q ON p.u = q.u AND p.b < q.b AND 2 * least(p.n, q.n) >= greatest(p.n, q.n)
+GROUP BY p.b, q.b, p.n, q.n HAVING 2 * count(*) >= p.n + q.n - count(*)
+"""
+P5_SQL = f"""{_SETS},
+     t AS (SELECT count(DISTINCT u) AS n FROM x),
+     y AS (SELECT x.*, n.n FROM x JOIN n USING (b), t WHERE n.n >= 8 AND n.n * 5 <= t.n)
+SELECT p.b AS business_id_1, q.b AS business_id_2, count(*) AS n_both, p.n AS n_1, q.n AS n_2, t.n AS n_baskets, round(count(*) * t.n::DOUBLE / (p.n * q.n), 6) AS ratio
+FROM y p JOIN y q ON p.u = q.u AND p.b < q.b, t
+GROUP BY p.b, q.b, p.n, q.n, t.n HAVING count(*) >= 8 AND count(*) * t.n >= 5 * p.n * q.n
+"""
+QUERIES |= {"p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_lift": p5_lift}
+SQL |= {"p4_found": P4_SQL, "p5_found": f"SELECT business_id_1, business_id_2 FROM ({P5_SQL})", "p5_lift": P5_SQL}
