@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from orebody.llm.chosen_path import similar_classes, similar_pairs
 from orebody.llm.cooccur import cooccurring_pairs
+from orebody.llm.encode import decode_corpus, encode_corpus
 from orebody.llm.iceberg import frequent_items
+from orebody.llm.leaks import find_leaks
 from orebody.llm.reservoir import fixed_size_sample
 from orebody.llm.seen import seen_before, wrong_answer_rate
 from orebody.sources.readers import table
@@ -104,3 +106,25 @@ GROUP BY p.b, q.b, p.n, q.n, t.n HAVING count(*) >= 8 AND count(*) * t.n >= 5 *
 """
 QUERIES |= {"p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_lift": p5_lift}
 SQL |= {"p4_found": P4_SQL, "p5_found": f"SELECT business_id_1, business_id_2 FROM ({P5_SQL})", "p5_lift": P5_SQL}
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document under byte_bpe_50k."""
+    return encode_corpus(table(spark, sf_dir, "documents"), key="doc_id", text="text")
+
+
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens of every document, and whether they decode to its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = decode_corpus(encode_corpus(docs, key="doc_id", text="text"), key="doc_id").withColumnRenamed("text", "decoded")
+    return docs.join(back, "doc_id").select("doc_id", (F.col("text") == F.col("decoded")).alias("same"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold 12 words in a row of an evaluation passage, or all of a shorter one."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), doc="doc_id", text="text", item="item_id", passage="passage")
+
+
+P8_SQL = "SELECT doc_id, true AS same FROM documents"
+QUERIES |= {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found}
+SQL |= {"p8_round_trip": P8_SQL}
