@@ -9,6 +9,7 @@ from orebody.llm.chosen_path import similar_classes, similar_pairs
 from orebody.llm.cooccur import cooccurring_pairs
 from orebody.llm.encode import decode_corpus, encode_corpus
 from orebody.llm.iceberg import frequent_items
+from orebody.llm.langid import fit_languages, identify_languages
 from orebody.llm.leaks import find_leaks
 from orebody.llm.reservoir import fixed_size_sample
 from orebody.llm.seen import seen_before, wrong_answer_rate
@@ -128,3 +129,26 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 P8_SQL = "SELECT doc_id, true AS same FROM documents"
 QUERIES |= {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found}
 SQL |= {"p8_round_trip": P8_SQL}
+
+
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, aliases = table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_alias")
+    model = fit_languages(docs, aliases, key="doc_id", text="text", label="lang", alias="label", language="lang")
+    return identify_languages(docs, model, key="doc_id", text="text")
+
+
+def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stretch of one language in each document, with its confidence."""
+    return _languages(spark, sf_dir).select("doc_id", F.posexplode("segments").alias("segment", "s")).select("doc_id", "segment", "s.*")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of the texts that hold several, or whose label is missing, unknown or not among them."""
+    docs = table(spark, sf_dir, "documents").where(F.length(F.regexp_replace("text", r"\P{L}", "")) >= 10).select("doc_id", F.col("lang").alias("label"))
+    aliases = F.broadcast(table(spark, sf_dir, "lang_alias").withColumnRenamed("lang", "named"))  # of fixed size
+    held = _languages(spark, sf_dir).select("doc_id", F.transform("languages", lambda x: x["lang"]).alias("langs"))
+    case = (F.size("langs") > 1) | F.col("named").isNull() | ~F.array_contains("langs", F.col("named"))
+    return docs.join(held, "doc_id").join(aliases, "label", "left").where(case).select("doc_id", F.explode("langs").alias("lang")).distinct()
+
+
+QUERIES |= {"p10_found": p10_found, "p10_segments": p10_segments}
