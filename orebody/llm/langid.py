@@ -116,11 +116,14 @@ class LanguageModel:
     temperature: float = 1.0
     reject: float = 0.5
 
+    def scored(self, bucket: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Logits of texts given by their n-gram buckets, a thousand texts at a time."""
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        out = [_means(self.scores[bucket[ends[k] : ends[min(k + 1024, len(counts))]]], counts[k : k + 1024]) + self.bias for k in range(0, len(counts), 1024)]
+        return np.concatenate(out) if out else np.zeros((0, len(self.languages)), np.float32)
+
     def logits(self, texts: list[str]) -> np.ndarray:
-        out = []
-        for k in range(0, len(texts), 4096):
-            bucket, counts = grams(texts[k : k + 4096])
-            out.append(_means(self.scores[bucket], counts) + self.bias)
+        out = [self.scored(*grams(texts[k : k + 1024])) for k in range(0, len(texts), 1024)]
         return np.concatenate(out) if out else np.zeros((0, len(self.languages)), np.float32)
 
     def confidence(self, texts: list[str]) -> np.ndarray:
@@ -138,7 +141,9 @@ def train(texts: list[str], labels: list[str], *, dim: int = 16, epochs: int = 6
     y = np.array([languages.index(x) for x in labels])
     rng = np.random.default_rng(seed)
     held = rng.random(len(texts)) < 0.1
-    bucket, counts = grams(texts)
+    parts = [grams(texts[k : k + 1024]) for k in range(0, len(texts), 1024)]
+    bucket, counts = np.concatenate([b for b, _ in parts]), np.concatenate([n for _, n in parts])
+    del parts
     starts = np.cumsum(counts) - counts
     keep = np.flatnonzero(~held & (counts > 0))
     model = LanguageModel(languages, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages), np.float32))
@@ -169,10 +174,10 @@ def train(texts: list[str], labels: list[str], *, dim: int = 16, epochs: int = 6
                 bias -= pace * slope.sum(axis=0) / 64
         model.scores, model.bias = table @ weight, bias
         if not fit:
-            z = _softmax(_means(model.scores[bucket], counts) + bias)
+            z = _softmax(model.scored(bucket, counts))
             wrong = (z.argmax(axis=1) != y) & (z.max(axis=1) > 0.5)
             keep, held = np.flatnonzero(~held & (counts > 0) & ~wrong), held & ~wrong
-    z = _means(model.scores[bucket], counts)[held] + model.bias
+    z = model.scored(bucket, counts)[held]
     if held.any():
         right = y[held]
         loss = {t: -np.log(_softmax(z / t)[np.arange(len(right)), right] + 1e-9).mean() for t in (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 1.0, 1.4, 2.0)}
