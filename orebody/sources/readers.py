@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orebody.session import ship_package
+
 USERS = "user_id string, name string, review_count bigint, yelping_since string, useful bigint, funny bigint, cool bigint, fans bigint, average_stars double"
 BUSINESSES = "business_id string, name string, address string, city string, state string, postal_code string, latitude double, longitude double, stars double, review_count bigint, is_open bigint"
 REVIEWS = "review_id string, user_id string, business_id string, stars double, date string, useful bigint, funny bigint, cool bigint, text string"
@@ -15,6 +17,7 @@ BUSINESS_EVENTS = "business_id string, name string, neighborhood string, city st
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table, a Parquet file or a folder of them."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
