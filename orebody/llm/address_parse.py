@@ -98,8 +98,8 @@ def _street(text: str) -> tuple[str | None, str | None, str | None]:
         kind = _TYPE[words.pop()]
     if len(words) > 1 and direction is None and words[0] in _DIRECTION:
         direction = _DIRECTION[words.pop(0)]
-    if len(words) > 1 and words[0] == "st":
-        words[0] = "saint"
+    if len(words) > 1:
+        words[0] = {"st": "saint", "mt": "mount", "ft": "fort"}.get(words[0], words[0])
     return " ".join(map(_ordinal, words)) or None, kind, direction
 
 
@@ -127,7 +127,8 @@ def parse_address(address: str | None, city: str | None, postcode: str | None) -
             elif i + 1 < len(parts):
                 at = i + 1
             break
-        if any(w.strip(".") in _TYPE for w in words[1:]) or _ORDINAL.match(words[0]):
+        trailing = out.number is None and i == len(parts) - 1 and _TRAILING.match(p)
+        if trailing or any(w.strip(".") in _TYPE for w in words[1:]) or _ORDINAL.match(words[0]):
             at = i
             if out.number is None and (m := _TRAILING.match(p)):
                 parts[i], out.number = m[1], m[2]

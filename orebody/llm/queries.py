@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orebody.llm.addresses import location_pairs, same_locations
 from orebody.llm.chosen_path import similar_classes, similar_pairs
 from orebody.llm.cooccur import cooccurring_pairs
 from orebody.llm.encode import decode_corpus, encode_corpus
@@ -152,3 +153,19 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p10_found": p10_found, "p10_segments": p10_segments}
+
+
+def p7_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Location of each business, and how many businesses stand there."""
+    located = same_locations(table(spark, sf_dir, "business"), key="business_id", address="address", city="city", postcode="postal_code")
+    sizes = located.groupBy("location").agg(F.count("*").alias("n"))
+    return located.join(sizes, "location").select("business_id", "location", "n")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of businesses at the same building number of the same street of the same town."""
+    located = same_locations(table(spark, sf_dir, "business"), key="business_id", address="address", city="city", postcode="postal_code")
+    return location_pairs(located, key="business_id").toDF("business_id_1", "business_id_2")
+
+
+QUERIES |= {"p7_found": p7_found, "p7_locations": p7_locations}
