@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orebody.plans import spatial
+from orebody.plans import core, core_sql, spatial
 
-QUERIES = {**spatial.QUERIES}
-SQL = {**spatial.SQL}
-FLAGSHIP = spatial.p6_found
+QUERIES = {**core.QUERIES, **spatial.QUERIES}
+SQL = {**core_sql.SQL, **spatial.SQL}
+FLAGSHIP = core.state_avg
