@@ -38,13 +38,19 @@ def bytes_mod(values: Column, p: int) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, byte: (acc * 256 + byte) % p)
 
 
+def let(value: Column, use) -> Column:
+    """`use(value)`, with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def string_hashes(text: Column, m: int) -> Column:
     """All hashes of the table of a string's big-endian integer, as an array."""
-    values = byte_values(text)
-    return F.array(*[((bytes_mod(values, p) * a + b) % p) % m for a, b, p in HASH_TABLE])
+    primes = sorted({p for _, _, p in HASH_TABLE})
+    rests = let(byte_values(text), lambda v: F.array(*[bytes_mod(v, p) for p in primes]))
+    return let(rests, lambda r: F.array(*[((F.get(r, F.lit(primes.index(p))) * a + b) % p) % m for a, b, p in HASH_TABLE]))
 
 
 def trailing_zeros(v: Column) -> Column:
     """Zeros at the end of the binary form; 1 for 0, whose form is the single digit 0."""
-    form = F.bin(v)
-    return F.length(form) - F.length(F.rtrim(form, F.lit("0")))
+    lowest = v.bitwiseAND(-v)
+    return F.when(v == 0, F.lit(1)).otherwise(F.round(F.log2(F.greatest(lowest, F.lit(1)))).cast("int"))

@@ -104,7 +104,7 @@ def points_within(left: DataFrame, right: DataFrame, metres: float, *, left_id:
 def regions_of_points(points: DataFrame, regions: DataFrame, *, point_id: str, region_id: str, lat: str = "latitude", lon: str = "longitude", ring: str = "ring", max_cells: int = 64) -> DataFrame:
     """(point_id, region_id) of every point inside a region.
 
-    `ring` is an array of (lat, lon) structs, the corners of a simple polygon in plate carrée that
+    `ring` is an array of structs of `lat` and `lon`, the corners of a simple polygon in plate carrée that
     does not cross the antimeridian; fewer than 3 corners or a null ring contain nothing. A region's
     bounding box is covered by Z-order cells of 2-D coordinates, at the finest level of at most
     `max_cells` cells; points are joined at each level that any region uses, then tested by ray
@@ -113,7 +113,7 @@ def regions_of_points(points: DataFrame, regions: DataFrame, *, point_id: str, r
     bits = 30
     grid = lambda v, low, span: F.least(F.lit((1 << bits) - 1), F.floor((v - low) / span * (1 << bits))).cast("bigint")
     r = regions.where(F.col(region_id).isNotNull() & (F.size(ring) >= 3)).select(F.col(region_id).alias("region_id"), F.col(ring).alias("_ring"))
-    la, lo = F.transform("_ring", lambda p: p[0]), F.transform("_ring", lambda p: p[1])
+    la, lo = F.transform("_ring", lambda p: p["lat"]), F.transform("_ring", lambda p: p["lon"])
     r = r.select("*", grid(F.array_min(la), -90, 180).alias("y0"), grid(F.array_max(la), -90, 180).alias("y1"), grid(F.array_min(lo), -180, 360).alias("x0"), grid(F.array_max(lo), -180, 360).alias("x1"))
     wide = F.greatest(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")) + 1
     side = max(1, math.isqrt(max_cells) - 1)
@@ -137,8 +137,8 @@ def regions_of_points(points: DataFrame, regions: DataFrame, *, point_id: str, r
 def _crosses(a: Column, b: Column) -> Column:
     """True if a ray from the point towards greater longitude crosses the edge."""
     y, x = F.col("_lat"), F.col("_lon")
-    at = (b[1] - a[1]) * F.coalesce(F.try_divide(y - a[0], b[0] - a[0]), F.lit(0.0)) + a[1]
-    return ((a[0] > y) != (b[0] > y)) & (x < at)
+    at = (b["lon"] - a["lon"]) * F.coalesce(F.try_divide(y - a["lat"], b["lat"] - a["lat"]), F.lit(0.0)) + a["lon"]
+    return ((a["lat"] > y) != (b["lat"] > y)) & (x < at)
 
 
 def _spread2(v: Column) -> Column:

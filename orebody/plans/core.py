@@ -140,7 +140,7 @@ def user_means(spark, d):
 
 def pearson_items(spark, d):
     w = recommend.pearson_pairs(ratings(spark, d), of="item", over="user", min_common=3).where(F.col("a") < F.col("b"))
-    return w.select(F.col("a").alias("business_id_1"), F.col("b").alias("business_id_2"), "n", F.round("w", 6).alias("w"))
+    return w.select(F.col("a").alias("business_id_1"), F.col("b").alias("business_id_2"), "n", "w")
 
 
 def _predictions(df: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ SQL = {
     "itemsets_daily": _itemsets("SELECT DISTINCT b, i FROM (SELECT strftime(ts, '%Y-%m-%d') || '-' || user_id AS b, event_type AS i, count(*) OVER (PARTITION BY strftime(ts, '%Y-%m-%d') || '-' || user_id) AS c FROM events) WHERE c > 2", 20, 7),
     "itemset_report": f"WITH found AS ({CASE1}) SELECT k, string_agg('(''' || replace(itemset, ',', ''', ''') || ''')', ',' ORDER BY '(''' || replace(itemset, ',', ''', ''') || ''')') AS line FROM found GROUP BY k",
     "user_means": f"WITH {R} SELECT u AS user_id, round(avg(r), 6) AS mean, count(*) AS n FROM r GROUP BY u",
-    "pearson_items": f"WITH {R}, q AS ({_sums('i', 'u', 'AND a.i < b.i')}) SELECT a AS business_id_1, b AS business_id_2, n, round({_pearson()}, 6) AS w FROM q WHERE n >= 3",
+    "pearson_items": f"WITH {R}, q AS ({_sums('i', 'u', 'AND a.i < b.i')}) SELECT a AS business_id_1, b AS business_id_2, n, {_pearson()} AS w FROM q WHERE n >= 3",
     "user_cf": f"""WITH {R}, {T}, um AS (SELECT u, avg(r) AS m FROM r GROUP BY u), q AS ({_sums('u', 'i', 'AND a.u IN (SELECT u FROM t)')}), w AS (SELECT a, b, {_pearson()} AS w FROM q WHERE n >= 2),
         s AS (SELECT t.u, t.i, sum((r.r - um.m) * w) AS top, sum(abs(w)) AS below FROM t JOIN w ON w.a = t.u AND w <> 0 JOIN r ON r.u = w.b AND r.i = t.i JOIN um ON um.u = r.u GROUP BY 1, 2)
         SELECT t.u AS user_id, t.i AS business_id, round(least(5.0, greatest(1.0, coalesce(um.m + coalesce(CASE WHEN below <> 0 THEN top / below END, 0.0), 3.0))), 6) AS prediction FROM t LEFT JOIN um ON um.u = t.u LEFT JOIN s ON s.u = t.u AND s.i = t.i""",
