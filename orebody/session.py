@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import zipfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Writes `df` as a compact table to the shared folder and reads it back; the session removes it when it ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/orebody-{uuid4().hex}"
+    df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package to the executors once a session, so that Python workers can import it anywhere."""
     context = spark.sparkContext
