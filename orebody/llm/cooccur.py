@@ -11,7 +11,6 @@ as its rarer item; and the (min_both - 1) largest baskets alone cannot make a pa
 from __future__ import annotations
 
 from collections.abc import Iterator
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orebody.functions.skew import hot_buckets, salt_of
-from orebody.session import cut, shared_dir
+from orebody.session import cut, written
 
 #: Most items that are broadcast; beyond, the item table is joined by shuffle.
 BROADCAST_ITEMS = 400_000
@@ -117,12 +116,9 @@ def cooccurring_pairs(rows: DataFrame, *, basket: str, item: str, min_both: int
     Rows of hot items are salted before they are made distinct. A basket of more than `block` items
     is cut into pairs of item blocks, each worked off on its own.
     """
-    spark = rows.sparkSession
     base = rows.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).select(F.col(item).alias("_b"), F.xxhash64(F.col(basket).cast("string")).alias("_u"))
     salt = salt_of(hot_buckets(base, "_b"), ["_b"], ["_u"])
-    path = f"{shared_dir(spark)}/cooccur-{uuid4().hex}"
-    base.withColumn("_salt", salt).repartition("_b", "_salt").dropDuplicates(["_b", "_salt", "_u"]).select("_b", "_u").write.parquet(path)
-    cells = spark.read.parquet(path)
+    cells = written(base.withColumn("_salt", salt).repartition("_b", "_salt").dropDuplicates(["_b", "_salt", "_u"]).select("_b", "_u"))
 
     sizes = cells.groupBy("_u").agg(F.count("*").alias("_k"))
     stat = sizes.agg(F.count("*").alias("n"), F.count_if(F.col("_k") > block).alias("large")).first()

@@ -135,7 +135,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], *, dim: int = 16, epochs: int = 6, batch: int = 32, rate: float = 0.5, seed: int = 3, precision: float = 0.995) -> LanguageModel:
+def train(texts: list[str], labels: list[str], *, dim: int = 16, epochs: int = 4, batch: int = 128, rate: float = 1.0, seed: int = 3, precision: float = 0.995) -> LanguageModel:
     """Fits on labelled sentences, drops those that the first fit finds mislabelled, fits again, calibrates."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
@@ -154,8 +154,9 @@ def train(texts: list[str], labels: list[str], *, dim: int = 16, epochs: int = 6
         weigh = np.ones(len(languages), np.float32)
         if fit:
             weigh = np.sqrt(len(keep) / len(languages) / np.maximum(np.bincount(y[keep], minlength=len(languages)), 1)).astype(np.float32)
-        total, step = epochs * -(-len(keep) // batch), 0
-        for _ in range(epochs):
+        rounds = epochs if fit else max(2, epochs // 2)  # the first fit only has to find wrong labels
+        total, step = rounds * -(-len(keep) // batch), 0
+        for _ in range(rounds):
             for some in np.array_split(rng.permutation(keep), max(1, -(-len(keep) // batch))):
                 pace = rate * (1 - step / total)
                 step += 1

@@ -89,7 +89,7 @@ class EliasFano:
 
 
 def _known(key: str) -> Column:
-    return F.col(key).isNotNull() & (F.trim(F.col(key).cast("string")) != "")
+    return F.col(key).isNotNull() & F.col(key).cast("string").rlike(r"\S")
 
 
 def _hash(key: str, bits: int) -> Column:
@@ -162,8 +162,8 @@ def wrong_answer_rate(stream: DataFrame, history: DataFrame, *, key: str, order:
     truly_new = exact.select(F.col("_first").alias(order), F.lit(True).alias("_new"))
     both = got.join(truly_new, order, "left")
     wrong = F.count_if(F.col("seen") == F.col("_new").isNotNull())
-    keys = exact.select(F.count("*").alias("_n")).crossJoin(history.select(F.count("*").alias("_m")))
-    return both.agg(F.count("*").alias("records"), F.count_if("seen").alias("seen"), wrong.alias("wrong")).crossJoin(keys).select(
+    keys = exact.count() + history.count()
+    return both.agg(F.count("*").alias("records"), F.count_if("seen").alias("seen"), wrong.alias("wrong")).select(
         F.lit(bits).alias("bits"), "records", "seen", "wrong", F.coalesce(F.try_divide(F.col("wrong"), F.col("records")), F.lit(0.0)).alias("wrong_rate"),
-        ((F.col("_n") + F.col("_m")) / F.lit(2.0**bits)).alias("expected_rate_of_new_keys"),
+        F.lit(keys / 2.0**bits).alias("expected_rate_of_new_keys"),
     )
