@@ -24,6 +24,8 @@ from orebody.session import cut
 
 _PARTS = ["number", "street", "kind", "direction", "town", "postcode"]
 _STREET = ["town", "street", "kind", "direction"]
+#: A spelling of at most RARE addresses, or with OFTEN times fewer than another, may be a slip of that.
+RARE, OFTEN = 2, 50
 
 
 def edits(a: str, b: str) -> int:
@@ -119,8 +121,10 @@ def _street_links(forms: DataFrame, most_edits: int) -> DataFrame:
     typed = met.where(F.col("kind").isNotNull()).join(own, (F.col("town") == F.col("o_town")) & (F.col("street") == F.col("o_street")) & (F.col("kind") == F.col("o_kind")) & F.col("direction").eqNullSafe(F.col("o_direction")), "left")
     n = F.coalesce("o_n", "n")
     same = (F.col("t_town").eqNullSafe(F.col("town"))) & (F.col("t_street") == F.col("street"))
-    better = same | (F.col("t_n") >= 2 * n) | ((n <= 1) & (F.col("t_street") < F.col("street")) & (F.col("t_n") >= n))
-    typed = typed.where(better).groupBy("form").agg(F.max_by(F.struct("t_town", "t_street", "t_kind"), F.struct("t_n", ~same, "same_code", "t_street", "t_town")).alias("r"))
+    # streets one letter apart do exist; a slip is rare, both as such and beside its street
+    more = (F.col("t_n") > n) | ((F.col("t_n") == n) & (F.col("t_street") < F.col("street")))
+    better = same | ((n <= RARE) & more) | (n * OFTEN <= F.col("t_n"))
+    typed = typed.where(better).groupBy("form").agg(F.max_by(F.struct("t_town", "t_street", "t_kind"), F.struct(~same, "same_code", "t_n", "t_street", "t_town")).alias("r"))
     step = forms.where(F.col("kind").isNotNull()).join(typed, "form", "left").select("form", *_STREET, F.coalesce("r.t_town", "town").alias("r_town"), F.coalesce("r.t_street", "street").alias("r_street"), F.col("kind").alias("r_kind"))
     step = cut(step)
     hop = step.groupBy(*_STREET).agg(F.first("r_town").alias("h_town"), F.first("r_street").alias("h_street"))
