@@ -81,8 +81,10 @@ def _resolved_towns(rows: DataFrame, rare: int = 3, ratio: int = 4) -> DataFrame
     """`rows` with misspelt towns corrected, missing ones taken from the postcode, and `sure`: the town is well known."""
     towns = rows.where(F.col("town").isNotNull()).groupBy("town").agg(F.count("*").alias("n"))
     keys = towns.select("town", "n", F.explode(_neighbourhood(F.col("town"))).alias("v"))
-    pairs = keys.alias("a").join(keys.alias("b"), "v").where((F.col("b.n") >= ratio * F.col("a.n")) & (F.col("a.town") != F.col("b.town")) & (F.levenshtein("a.town", "b.town") <= 2))
-    best = pairs.groupBy(F.col("a.town").alias("town")).agg(F.max_by(F.col("b.town"), F.struct(-F.levenshtein(F.col("a.town"), F.col("b.town")), F.col("b.n"), F.col("b.town"))).alias("right"))
+    apart, sorted_letters = F.levenshtein("a.town", "b.town"), lambda c: F.array_sort(F.split(F.col(c), ""))
+    slip = (apart == 1) | ((apart == 2) & (sorted_letters("a.town") == sorted_letters("b.town")))  # the latter: neighbours swapped
+    pairs = keys.alias("a").join(keys.alias("b"), "v").where((F.col("b.n") >= ratio * F.col("a.n")) & slip)
+    best = pairs.groupBy(F.col("a.town").alias("town")).agg(F.max_by(F.col("b.town"), F.struct(F.col("b.n"), F.col("b.town"))).alias("right"))
     towns = towns.join(best, "town", "left").select("town", F.coalesce("right", "town").alias("right"), (F.col("right").isNotNull() | (F.col("n") > rare)).alias("sure"))
     rows = rows.join(towns, "town", "left").withColumn("town", F.col("right")).drop("right")
     by_code = rows.where(F.col("town").isNotNull() & F.col("postcode").isNotNull()).groupBy("postcode", "town").agg(F.count("*").alias("n"))
