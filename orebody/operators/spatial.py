@@ -34,26 +34,29 @@ def _xyz(lat: Column, lon: Column) -> list[Column]:
     return [F.lit(EARTH_M) * F.cos(la) * F.cos(lo), F.lit(EARTH_M) * F.cos(la) * F.sin(lo), F.lit(EARTH_M) * F.sin(la)]
 
 
-def _spread(v: Column) -> Column:
-    """Moves bit i of a 20-bit number to bit 3 i."""
-    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
-    return v
+_SPREAD = ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249))
+
+
+def _spread(df: DataFrame, names: list[str]) -> DataFrame:
+    """Moves bit i of 20-bit numbers to bit 3 i. Each step is a projection of its own, as it uses its input twice."""
+    for shift, mask in _SPREAD:
+        df = df.withColumns({n: F.col(n).bitwiseOR(F.shiftleft(n, shift)).bitwiseAND(F.lit(mask).cast("bigint")) for n in names})
+    return df
 
 
 def _leaf(m: Column) -> Column:
     return F.floor((m + F.lit(EARTH_M)) / F.lit(LEAF_M)).cast("bigint") + 1
 
 
-def _morton(axes: list[Column]) -> Column:
-    x, y, z = (_spread(a) for a in axes)
-    return x.bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2))
+def _interleaved(x: str, y: str, z: str) -> Column:
+    return F.col(x).bitwiseOR(F.shiftleft(y, 1)).bitwiseOR(F.shiftleft(z, 2))
 
 
-def cell_code(lat: str | Column, lon: str | Column) -> Column:
-    """Morton code of the point's leaf cube, whose side is about 12 m."""
-    lat, lon = (F.col(c) if isinstance(c, str) else c for c in (lat, lon))
-    return _morton([_leaf(m) for m in _xyz(lat, lon)])
+def with_cell_code(df: DataFrame, lat: str, lon: str, name: str, drop: int = 0) -> DataFrame:
+    """`df` with the Morton code of each point's cube: a leaf of about 12 m, or one of 2**drop leaves a side."""
+    axes = ["_x", "_y", "_z"]
+    df = df.withColumns(dict(zip(axes, _xyz(F.col(lat), F.col(lon))))).withColumns({a: F.shiftright(_leaf(F.col(a)), drop) for a in axes})
+    return _spread(df, axes).withColumn(name, _interleaved(*axes)).drop(*axes)
 
 
 def level_for(metres: float) -> int:
@@ -61,13 +64,15 @@ def level_for(metres: float) -> int:
     return max(0, min(AXIS_BITS, math.ceil(math.log2(max(2 * metres / LEAF_M, 1)))))
 
 
-def disc_ranges(lat: str | Column, lon: str | Column, metres: float) -> Column:
-    """Array of (lo, hi) code ranges that cover every point within `metres`: at most 8 cubes."""
-    lat, lon = (F.col(c) if isinstance(c, str) else c for c in (lat, lon))
-    drop = level_for(metres)
-    reach = [(F.shiftright(_leaf(m - F.lit(metres)), drop), F.shiftright(_leaf(m + F.lit(metres)), drop)) for m in _xyz(lat, lon)]
-    corners = F.array_distinct(F.array(*[_morton([reach[a][(k >> a) & 1] for a in range(3)]) for k in range(8)]))
-    return F.transform(corners, lambda c: F.struct(F.shiftleft(c, 3 * drop).alias("lo"), (F.shiftleft(c + 1, 3 * drop) - 1).alias("hi")))
+def with_disc_ranges(df: DataFrame, lat: str, lon: str, metres: float) -> DataFrame:
+    """A row (_cell, _lo, _hi) for each of at most 8 cubes that hold every point within `metres`: a range of leaf codes."""
+    drop, ends = level_for(metres), [f"_{a}{k}" for a in "xyz" for k in (0, 1)]
+    df = df.withColumns(dict(zip(["_x", "_y", "_z"], _xyz(F.col(lat), F.col(lon)))))
+    df = df.withColumns({e: F.shiftright(_leaf(F.col(e[:2]) + F.lit(metres if e[2] == "1" else -metres)), drop) for e in ends})
+    df = _spread(df, ends)
+    corners = F.array_distinct(F.array(*[_interleaved(f"_x{k & 1}", f"_y{k >> 1 & 1}", f"_z{k >> 2 & 1}") for k in range(8)]))
+    df = df.withColumn("_cell", F.explode(corners)).drop("_x", "_y", "_z", *ends)
+    return df.withColumns({"_lo": F.shiftleft("_cell", 3 * drop), "_hi": F.shiftleft(F.col("_cell") + 1, 3 * drop) - 1})
 
 
 def great_circle_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -88,9 +93,9 @@ def points_within(left: DataFrame, right: DataFrame, metres: float, *, left_id:
     pick = lambda df, i, p: df.where(has_position(lat, lon) & F.col(i).isNotNull()).select(F.col(i).alias(f"{p}id"), F.col(lat).alias(f"{p}lat"), F.col(lon).alias(f"{p}lon")).distinct()
     drop = level_for(metres)
     a, b = pick(left, left_id, "a_"), pick(right, right_id, "b_")
-    a = a.select("*", F.explode(disc_ranges("a_lat", "a_lon", metres)).alias("_r")).select("a_id", "a_lat", "a_lon", F.col("_r.lo").alias("_lo"), F.col("_r.hi").alias("_hi"), F.shiftright(F.col("_r.lo"), 3 * drop).alias("_cell"))
-    b = b.withColumn("_code", cell_code("b_lat", "b_lon")).withColumn("_cell", F.shiftright("_code", 3 * drop))
-    hot = hot_buckets(right.where(has_position(lat, lon)).select(F.shiftright(cell_code(lat, lon), 3 * drop).alias("_cell")), "_cell")
+    a = with_disc_ranges(a, "a_lat", "a_lon", metres)
+    b = with_cell_code(b, "b_lat", "b_lon", "_code").withColumn("_cell", F.shiftright("_code", 3 * drop))
+    hot = hot_buckets(with_cell_code(right.where(has_position(lat, lon)).select(F.col(lat).alias("_lat"), F.col(lon).alias("_lon")), "_lat", "_lon", "_cell", drop).select("_cell"), "_cell")
     a = a.withColumn("_salt", salt_of(hot, ["_cell"], ["a_id"]))
     b = b.withColumn("_salt", F.explode(all_salts(hot, ["_cell"])))
     near = (F.col("_code") >= F.col("_lo")) & (F.col("_code") <= F.col("_hi"))
