@@ -36,11 +36,6 @@ def fm_combined(tails: list[Column], groups: int = GROUPS) -> Column:
     return F.element_at(F.array_sort(F.array(*means)), groups // 2 + 1)
 
 
-def fm_tails(element: Column, m: int) -> list[Column]:
-    hashes = string_hashes(element, m)
-    return [trailing_zeros(F.get(hashes, F.lit(j))) for j in range(len(HASH_TABLE))]
-
-
 def flajolet_martin(df: DataFrame, *, element: str, time: str, window: str, slide: str, m: int = BITS) -> DataFrame:
     """(window_start, window_end, n_distinct, estimate) for each sliding window that holds an element.
 

@@ -125,13 +125,12 @@ def regions_of_points(points: DataFrame, regions: DataFrame, *, point_id: str, r
     r = r.withColumn("_drop", F.greatest(F.lit(0), F.ceil(F.log2(wide / F.lit(float(side))))).cast("int"))
     cells = lambda a, b: F.sequence(F.call_function("shiftright", F.col(a), F.col("_drop")), F.call_function("shiftright", F.col(b), F.col("_drop")))
     r = r.withColumn("_y", F.explode(cells("y0", "y1"))).withColumn("_x", F.explode(cells("x0", "x1")))
-    z = lambda x, y: _spread2(x).bitwiseOR(F.shiftleft(_spread2(y), 1))
-    r = r.select("region_id", "_ring", "_drop", z(F.col("_x"), F.col("_y")).alias("_cell"))
+    r = _z_order(r, "_x", "_y").select("region_id", "_ring", "_drop", "_cell")
     levels = [x["_drop"] for x in r.select("_drop").distinct().collect()]  # at most 31
     p = points.where(has_position(lat, lon) & F.col(point_id).isNotNull()).select(F.col(point_id).alias("point_id"), F.col(lat).alias("_lat"), F.col(lon).alias("_lon")).distinct()
-    gy, gx = grid(F.col("_lat"), -90, 180), grid(F.col("_lon"), -180, 360)
-    p = p.select("*", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")).alias("_drop"))
-    p = p.withColumn("_cell", z(F.call_function("shiftright", gx, F.col("_drop")), F.call_function("shiftright", gy, F.col("_drop"))))
+    p = p.withColumns({"_x": grid(F.col("_lon"), -180, 360), "_y": grid(F.col("_lat"), -90, 180)})
+    p = p.withColumn("_drop", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")))
+    p = _z_order(p.withColumns({a: F.call_function("shiftright", F.col(a), F.col("_drop")) for a in ("_x", "_y")}), "_x", "_y")
     inside = F.aggregate(
         F.sequence(F.lit(0), F.size("_ring") - 1), F.lit(False),
         lambda acc, i: acc != _crosses(F.get("_ring", i), F.get("_ring", F.pmod(i + 1, F.size("_ring")))),
@@ -146,7 +145,8 @@ def _crosses(a: Column, b: Column) -> Column:
     return ((a["lat"] > y) != (b["lat"] > y)) & (x < at)
 
 
-def _spread2(v: Column) -> Column:
+def _z_order(df: DataFrame, x: str, y: str) -> DataFrame:
+    """`df` with `_cell`, the interleaved bits of two 32-bit numbers, instead of them."""
     for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
-    return v
+        df = df.withColumns({n: F.col(n).bitwiseOR(F.shiftleft(n, shift)).bitwiseAND(F.lit(mask).cast("bigint")) for n in (x, y)})
+    return df.withColumn("_cell", F.col(x).bitwiseOR(F.shiftleft(y, 1))).drop(x, y)

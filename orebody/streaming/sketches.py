@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.utils import AnalysisException
 
-from orebody.functions.hashing import HASH_TABLE, string_hashes
-from orebody.operators.sketches import BITS, fm_combined, fm_tails
+from orebody.functions.hashing import HASH_TABLE, string_hashes, trailing_zeros
+from orebody.operators.sketches import BITS, fm_combined
 
 
 def _before(spark: SparkSession, path: str, batch: int, schema: str) -> DataFrame:
@@ -59,8 +59,8 @@ def bloom_rates(spark: SparkSession, state: str) -> DataFrame:
 def flajolet_martin_stream(stream: DataFrame, *, element: str, time: str, window: str, slide: str, late: str, m: int = BITS) -> DataFrame:
     """Streaming (window_start, window_end, n_distinct, estimate); a window comes out once the watermark has passed its end."""
     rows = stream.where(F.col(element).isNotNull()).withColumn("_time", F.col(time).cast("timestamp")).withWatermark("_time", late)
-    tails = fm_tails(F.col(element), m)
-    most = rows.groupBy(F.window("_time", window, slide).alias("w")).agg(F.size(F.collect_set(element)).alias("n_distinct"), *[F.max(t).alias(f"r{j}") for j, t in enumerate(tails)])
+    rows = rows.withColumn("_tails", F.transform(string_hashes(F.col(element), m), trailing_zeros))
+    most = rows.groupBy(F.window("_time", window, slide).alias("w")).agg(F.size(F.collect_set(element)).alias("n_distinct"), *[F.max(F.get("_tails", F.lit(j))).alias(f"r{j}") for j in range(len(HASH_TABLE))])
     return most.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_distinct", fm_combined([F.col(f"r{j}") for j in range(len(HASH_TABLE))]).alias("estimate"))
 
 
