@@ -236,7 +236,29 @@ def segments_of(found: list[tuple[int, int, str]], p: np.ndarray, model: Languag
             s.end, s.words, s.letters, s.ended = end, s.words + words, s.letters + int(size), s.ended or (ended and words >= 3)
         else:
             out.append(Segment(start, end, language, sure, words, int(size), ended))
-    return out
+    return _without_scraps(out, model.languages[main])
+
+
+def _without_scraps(parts: list[Segment], main: str, least_words: int = 4) -> list[Segment]:
+    """Stretches of another language too short for a sentence (links, names, borrowed phrases) join their neighbour."""
+    out: list[Segment] = []
+    ahead = None
+    for s in parts:
+        if s.language != main and s.words < least_words and len(parts) > 1:
+            if out:
+                out[-1].end = s.end
+            else:
+                ahead = s.start if ahead is None else ahead
+            continue
+        if ahead is not None:
+            s.start, ahead = ahead, None
+        if out and out[-1].language == s.language:
+            t = out[-1]
+            t.confidence = (t.confidence * t.letters + s.confidence * s.letters) / (t.letters + s.letters)
+            t.end, t.words, t.letters, t.ended = s.end, t.words + s.words, t.letters + s.letters, t.ended or s.ended
+        else:
+            out.append(s)
+    return out or parts
 
 
 def languages_held(segments: list[Segment], model: LanguageModel, least_words: int = 5) -> list[tuple[str, float]]:

@@ -6,13 +6,13 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import orebody.llm.cooccur as cooccur
 from orebody.llm.address_parse import parse_address, postcode_of, town_of
 from orebody.llm.addresses import assignment_cost, edits, location_pairs, same_locations
 from orebody.llm.chosen_path import similar_classes, similar_pairs, sketch_cutoff, tree_recall
 from orebody.llm.cooccur import cooccurring_pairs, sparse_gram
-from tests.conftest import tuples
 
 
 def jaccard_pairs(sets, threshold, least):
@@ -121,9 +121,10 @@ ADDRESSES = [
 def test_same_locations(rows):
     more = [(f"x{k}", f"{k} Nojewe Ln", "Tebizas Falls", "20258") for k in range(8)] + [(f"y{k}", f"{k} Saint Velda Dr E", "North Saxofin", "20599") for k in range(8)]
     df = rows([*ADDRESSES, *ADDRESSES[:3], *more], "business_id string, address string, city string, postal_code string")
+    df = df.withColumn("location", F.lit("here")).withColumn("number", F.lit(1)).withColumn("town", F.lit("x"))
     located = same_locations(df, key="business_id", address="address", city="city", postcode="postal_code")
     got = {tuple(r) for r in location_pairs(located, key="business_id").collect()}
-    same = [set("abcdqr") , set("lm"), set("no")]
+    same = [set("abcdqr"), set("lm"), set("no")]
     want = {p for s in same for p in combinations(sorted(s), 2)}
     # without its type, e fits both Nojewe Ln and Nojewe St: it stays alone
     assert got == want

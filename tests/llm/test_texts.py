@@ -74,7 +74,9 @@ def test_leaks_equal_brute_force(rows):
             k = rng.randint(0, len(p))
             text += rng.choice([", ", "\n", " "]) + rng.choice([" ", "-", ";\n"]).join(w.upper() for w in p[max(0, k - 14) : k + rng.randint(0, 14)]) + " " + say(3)
         docs.append((d, text))
-    df, ev = rows([*docs, docs[5]], "doc_id bigint, text string"), rows([*items, items[0]], "item_id bigint, passage string")
+    docs.append((500, "filler, " * 60_000 + items[-4][1]))
+    df = rows([(*d, 7, "x") for d in [*docs, docs[5]]], "doc_id bigint, text string, item_id int, passage string")
+    ev = rows([*items, items[0]], "item_id bigint, passage string")
     want = brute(docs, items, 12)
     form = {"doc": "doc_id", "text": "text", "item": "item_id", "passage": "passage"}
     assert len(want) > 20
