@@ -41,7 +41,7 @@ def flajolet_martin(df: DataFrame, *, element: str, time: str, window: str, slid
 
     Hashing runs once a distinct element and window; the 36 maxima combine before the shuffle.
     """
-    rows = df.where(F.col(element).isNotNull() & F.col(time).isNotNull()).select(F.window(F.col(time).cast("timestamp"), window, slide).alias("w"), F.col(element).alias("e"))
+    rows = df.where(F.col(element).isNotNull() & F.col(time).isNotNull()).select(F.window(time, window, slide).alias("w"), F.col(element).alias("e"))
     rows = rows.distinct().select("w", F.transform(string_hashes(F.col("e"), m), trailing_zeros).alias("z"))
     most = rows.groupBy("w").agg(F.count("*").alias("n_distinct"), *[F.max(F.get("z", F.lit(j))).alias(f"r{j}") for j in range(len(HASH_TABLE))])
     return most.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_distinct", fm_combined([F.col(f"r{j}") for j in range(len(HASH_TABLE))]).alias("estimate"))

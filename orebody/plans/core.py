@@ -187,7 +187,7 @@ def bloom_fpr(spark, d):
 
 def fm_estimate(spark, d):
     fm = sketches.flajolet_martin(table(spark, d, "business_stream"), element="city", time="received_at", window="6 hours", slide="2 hours")
-    return fm.select(F.unix_timestamp("window_start").alias("window_start"), "n_distinct", F.round("estimate", 6).alias("estimate"))
+    return fm.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n_distinct", F.round("estimate", 6).alias("estimate"))
 
 
 def _tag_counts(tweets: DataFrame) -> DataFrame:

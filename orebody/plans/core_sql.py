@@ -113,7 +113,7 @@ SQL = {
         c AS (SELECT city, {BYTES.format('city')} AS bytes FROM (SELECT DISTINCT city FROM w)), v AS (SELECT city, j, bin((({CODE} * a + b) % p) % 200) AS v FROM c, h),
         z AS (SELECT w, j, max(length(v) - length(rtrim(v, '0'))) AS r FROM w JOIN v USING (city) GROUP BY 1, 2), g AS (SELECT w, j // 9 AS g, avg(pow(2, r)) AS g_mean FROM z GROUP BY 1, 2),
         s AS (SELECT w, list_sort(list(g_mean))[3] AS estimate FROM g GROUP BY w), n AS (SELECT w, count(*) AS n_distinct FROM w GROUP BY w)
-        SELECT w AS window_start, n_distinct, round(estimate, 6) AS estimate FROM s JOIN n USING (w)""",
+        SELECT strftime(epoch_ms(w * 1000), '%Y-%m-%d %H:%M:%S') AS window_start, n_distinct, round(estimate, 6) AS estimate FROM s JOIN n USING (w)""",
     "reservoir_tags": TOP5.format(TAGS.format("(SELECT hashtags FROM (SELECT *, row_number() OVER (PARTITION BY tweet_id ORDER BY batch_no, arrived_at) AS o FROM tweet WHERE len(hashtags) > 0 AND tweet_id IS NOT NULL) WHERE o = 1 ORDER BY md5(tweet_id::VARCHAR) LIMIT 150)")),
     "top_tags_ties": TOP5.format(TAGS.format("tweet")),
     "components": f"{COMPONENTS} SELECT id AS business_id, component FROM k",
