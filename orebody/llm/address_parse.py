@@ -127,7 +127,7 @@ def parse_address(address: str | None, city: str | None, postcode: str | None) -
             elif i + 1 < len(parts):
                 at = i + 1
             break
-        trailing = out.number is None and i == len(parts) - 1 and _TRAILING.match(p)
+        trailing = out.number is None and _TRAILING.match(p) and not any(re.match(r"\d+[a-z]?\s+\S*[a-z]", q) for q in parts[i + 1 :])
         if trailing or any(w.strip(".") in _TYPE for w in words[1:]) or _ORDINAL.match(words[0]):
             at = i
             if out.number is None and (m := _TRAILING.match(p)):

@@ -140,7 +140,7 @@ def test_same_locations(rows):
         ("Sulasim Mall, 68 S. Foundry St, Fl 8", ("68", "foundry", "st", "s")), ("ST VELDA HWY, NO 24 SUITE 116", ("24", "saint velda", "hwy", None)), ("3023 No. Wibaart", ("3023", "wibaart", None, "n")),
         ("Rumojo Pky 492, unit 238", ("492", "rumojo", "pkwy", None)), ("20, LEJOCATH SQ", ("20", "lejocath", "sq", None)), ("Suite 280\t7305 Pidopoen Square", ("7305", "pidopoen", "sq", None)),
         ("KAPEYI ARCADE, 58 FEHUJAL, Hirazem Junction, ZT Y6W-3R2", ("58", "fehujal", None, None)), ("4 Sibipa Pkwy W.", ("4", "sibipa", "pkwy", "w")), ("734 Twelfth Av. Suite 142", ("734", "12th", "ave", None)),
-        ("S. Filipurt 728", ("728", "filipurt", None, "s")), ("Main Street", (None, "main", "st", None)), (",,", (None, None, None, None)), ("#", (None, None, None, None)), ("x" * 5000, (None, None, None, None)),
+        ("S. Filipurt 728", ("728", "filipurt", None, "s")), ("Gigajart 2849, Lusepath Junction XK", ("2849", "gigajart", None, None)), ("Tower 5, 12 Main St", ("12", "main", "st", None)), ("Main Street", (None, "main", "st", None)), (",,", (None, None, None, None)), ("#", (None, None, None, None)), ("x" * 5000, (None, None, None, None)),
     ],
 )
 def test_parse(address, want):
