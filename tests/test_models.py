@@ -198,3 +198,19 @@ def test_girvan_newman(rows, network):
     assert round(q(home), 9) == best
     with pytest.raises(ValueError):
         graph.girvan_newman(rows(network, "src string, dst string"), most_edges=3)
+
+
+def test_itemsets_equal_fpgrowth(rows):
+    from pyspark.ml.fpm import FPGrowth
+
+    from orebody.operators.itemsets import frequent_itemsets
+
+    rng = random.Random(31)
+    data = [(b, i) for b in range(120) for i in {min(int(rng.paretovariate(0.8)), 25) for _ in range(rng.randint(1, 9))}]
+    df = rows(data, "basket int, item int")
+    baskets = df.groupBy("basket").agg(F.collect_set("item").alias("items"))
+    want = {(tuple(sorted(r["items"])), r.freq) for r in FPGrowth(itemsCol="items", minSupport=(8 - 0.5) / 120).fit(baskets).freqItemsets.collect()}
+    for parts in (1, 7):
+        got = frequent_itemsets(df.repartition(parts), 8).collect()
+        assert {(tuple(r.itemset), r.support) for r in got} == want
+    assert max(r.k for r in got) >= 3
