@@ -127,9 +127,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), doc="doc_id", text="text", item="item_id", passage="passage")
 
 
+P9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS l FROM documents WHERE text IS NOT NULL),
+     p AS (SELECT item_id, l, least(12, len(l)) AS n FROM (SELECT item_id, regexp_extract_all(passage, '[\p{L}\p{N}]+') AS l FROM eval_items) WHERE len(l) > 0),
+     pw AS (SELECT DISTINCT item_id, n, lower(array_to_string(list_slice(l, k, k + n - 1), ' ')) AS g FROM (SELECT *, unnest(range(1, len(l) - n + 2)) AS k FROM p)),
+     dw AS (SELECT doc_id, n, lower(array_to_string(list_slice(l, k, k + n - 1), ' ')) AS g FROM (SELECT *, unnest(range(1, len(l) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM pw)))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN pw USING (n, g)
+"""
 P8_SQL = "SELECT doc_id, true AS same FROM documents"
 QUERIES |= {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found}
-SQL |= {"p8_round_trip": P8_SQL}
+SQL |= {"p8_round_trip": P8_SQL, "p9_found": P9_SQL}
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
