@@ -4,8 +4,9 @@ Method (Christiani, Pagh and Sivertsen 2018, after the chosen-path tree of Chris
 2017): each set becomes a fixed number of MinHash tokens. A tree node branches on token positions
 drawn at random for the node, each with probability 1 / (threshold * positions), so that two sets
 at the threshold share one branch on average; records go to the child of their own token. Small
-nodes are compared pair by pair on a sketch, large ones branch again. Several trees bring the
-recall; every pair that passes the sketch is verified exactly.
+nodes are compared pair by pair on a sketch, large ones branch again. Trees are repeated until
+their number gives the wanted recall at the depth that nodes reached; every pair that passes the
+sketch is verified exactly.
 
 Equal sets are joined as one class, so a group of copies costs one record.
 """
@@ -34,13 +35,32 @@ def sketch_cutoff(threshold: float, positions: int = POSITIONS, deviations: floa
 
 
 def tree_recall(similarity: float, threshold: float, trees: int, depth: int) -> float:
-    """Least probability that a pair of this similarity meets in a leaf at `depth` of any tree."""
+    """Probability that a pair of this similarity meets in a leaf at `depth` of any tree, were tokens drawn anew for each node."""
     alive = 1.0
     for _ in range(depth):
         alive = 1 - (1 - similarity * alive / (threshold * POSITIONS)) ** POSITIONS
     return 1 - (1 - alive) ** trees
 
 
+def pair_recall(similarity: float, threshold: float, trees: int, depth: int) -> float:
+    """The same for tokens drawn once for all trees: the mean over how many of them a pair has in common."""
+    total = 0.0
+    for same in range(POSITIONS + 1):
+        alive = 1.0
+        for _ in range(depth):
+            alive = 1 - (1 - min(1.0, alive / (threshold * POSITIONS))) ** same
+        total += math.comb(POSITIONS, same) * similarity**same * (1 - similarity) ** (POSITIONS - same) * (1 - alive) ** trees
+    return 1 - total
+
+
+def trees_for(threshold: float, recall: float, depth: int) -> int:
+    """Least number of trees by which a pair at the threshold is found with probability `recall` at `depth`."""
+    trees = 1
+    while pair_recall(threshold, threshold, trees, depth) < recall:
+        trees += 1
+    return trees
+
+
 def _compare(threshold: float, cutoff: int):
     ones = np.uint64(0x1111111111111111)
 
@@ -108,18 +128,20 @@ def set_records(rows: DataFrame, *, record: str, token: str, min_size: int) -> D
     return part.withColumn("_sig", F.transform("_sig", lambda m: F.shiftright(F.xxhash64(m), 32).cast("int")))
 
 
-def similar_classes(rows: DataFrame, *, record: str, token: str, threshold: float = 0.5, min_size: int = 1, trees: int = 12, leaf: int = 128, depth: int = 5, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def similar_classes(rows: DataFrame, *, record: str, token: str, threshold: float = 0.5, min_size: int = 1, trees: int = 12, leaf: int = 128, depth: int = 5, seed: int = 1, recall: float = 0.9995) -> tuple[DataFrame, DataFrame]:
     """Two tables: (record, class_id) for every record, and (class_1, class_2, n_1, n_2, n_both, jaccard) for similar classes.
 
     A record's set is its distinct tokens; nulls in either column and records of fewer than
     `min_size` tokens are left out; records with equal sets share a class. Pairs have Jaccard
     similarity at least `threshold`, counted exactly on 64-bit token hashes (a wrong count needs two
-    of the tokens of one pair to collide). Each pair is found with probability at least
-    `tree_recall(threshold, threshold, trees, d)`, d being the depth its nodes need: 0.99999 at 1,
-    0.9995 at 2. Nodes still large at `depth` are compared in blocks, so nothing is cut off.
+    of the tokens of one pair to collide). Each pair is found with probability at least `recall`:
+    `trees` are grown first, and as many more as `trees_for` the deepest level that nodes needed.
+    Nodes still large at `depth` are compared in blocks, so nothing is cut off.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
+    if not 0 < recall < 0.999999:
+        raise ValueError("recall must be in (0, 0.999999)")
     sets = cut(set_records(rows, record=record, token=token, min_size=min_size))
     one = F.min_by(F.struct("_s", "_sig"), "_s")
     reps = sets.groupBy("_n", "_x", "_y").agg(one.alias("_r"), F.count("*").alias("_members")).select("_n", "_x", "_y", "_members", "_r.*")
@@ -131,24 +153,28 @@ def similar_classes(rows: DataFrame, *, record: str, token: str, threshold: floa
         for i in range(16 * k + 1, 16 * k + 16):
             w = w.bitwiseOR(nibble(i))
         words.append(w.alias(name))
-    roots = reps.select(F.col("_id"), F.col("_n"), *words, "_sig", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(trees).cast("bigint"))).alias("_path"))
+    records = reps.select("_id", "_n", *words, "_sig")
     compare, small = _compare(threshold, sketch_cutoff(threshold)), ["_path", "_id", "_n", *_WORDS]
-    level, done = roots, []
-    for d in range(1, depth + 1):
-        level = level.select("_id", "_n", *_WORDS, "_sig", F.explode(_branches(F.col("_path"), F.col("_sig"), threshold, seed + d)).alias("_path"))
-        wide = cut(level.groupBy("_path").agg(F.count("*").alias("_size")).where(F.col("_size") > leaf))
-        if wide.isEmpty():
-            done.append(level.select(*small))
-            break
-        done.append(level.join(wide, "_path", "left_anti").select(*small))
-        level = level.join(wide, "_path")
-        if d == depth:
-            g = F.ceil(F.col("_size") / leaf).cast("int")
-            own = F.pmod(F.xxhash64("_id"), g).cast("int")
-            blocks = level.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), g - 1)))
-            done.append(blocks.withColumn("_path", F.xxhash64("_path", F.least("_own", "_other"), F.greatest("_own", "_other"))).select(*small))
-        else:
-            level = cut(level.drop("_size"))
+    done, grown, wanted, deepest = [], 0, trees, 0
+    while grown < wanted:
+        level = records.withColumn("_path", F.explode(F.sequence(F.lit(grown + 1).cast("bigint"), F.lit(wanted).cast("bigint"))))
+        for d in range(1, depth + 1):
+            deepest = max(deepest, d)
+            level = level.select("_id", "_n", *_WORDS, "_sig", F.explode(_branches(F.col("_path"), F.col("_sig"), threshold, seed + d)).alias("_path"))
+            wide = cut(level.groupBy("_path").agg(F.count("*").alias("_size")).where(F.col("_size") > leaf))
+            if wide.isEmpty():
+                done.append(level.select(*small))
+                break
+            done.append(level.join(wide, "_path", "left_anti").select(*small))
+            level = level.join(wide, "_path")
+            if d == depth:
+                g = F.ceil(F.col("_size") / leaf).cast("int")
+                own = F.pmod(F.xxhash64("_id"), g).cast("int")
+                blocks = level.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), g - 1)))
+                done.append(blocks.withColumn("_path", F.xxhash64("_path", F.least("_own", "_other"), F.greatest("_own", "_other"))).select(*small))
+            else:
+                level = cut(level.drop("_size"))
+        grown, wanted = wanted, max(wanted, trees_for(threshold, recall, deepest))
     nodes = done[0]
     for more in done[1:]:
         nodes = nodes.unionByName(more)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import orebody.llm.cooccur as cooccur
 from orebody.llm.address_parse import parse_address, postcode_of, town_of
 from orebody.llm.addresses import assignment_cost, edits, location_pairs, same_locations
-from orebody.llm.chosen_path import similar_classes, similar_pairs, sketch_cutoff, tree_recall
+from orebody.llm.chosen_path import pair_recall, similar_classes, similar_pairs, sketch_cutoff, tree_recall, trees_for
 from orebody.llm.cooccur import cooccurring_pairs, sparse_gram
 
 
@@ -63,6 +63,22 @@ def test_hot_record_is_salted(rows, sets, monkeypatch):
     assert {(r.record_1, r.record_2) for r in got.collect()} == jaccard_pairs(sets, 0.5, 5)
 
 
+def test_deep_nodes_get_more_trees(rows):
+    """Leaves of one record send every pair to the last level, where 12 trees find about 95 of 100 pairs at the threshold."""
+    sets = {f"{side}{k}": {f"c{k}_{i}" for i in range(4)} | {f"{side}{k}_{i}" for i in range(2)} for k in range(600) for side in "ab"}
+    got = similar_pairs(table_of(rows, sets).where("user_id != 'u1'"), record="business_id", token="user_id", threshold=0.5, min_size=5, leaf=1)
+    found = {(r.record_1, r.record_2) for r in got.collect()}
+    assert found <= {(f"a{k}", f"b{k}") for k in range(600)}
+    assert len(found) >= 598
+
+
+def test_trees_for_recall():
+    for depth in range(1, 6):
+        n = trees_for(0.5, 0.9995, depth)
+        assert pair_recall(0.5, 0.5, n, depth) >= 0.9995 > pair_recall(0.5, 0.5, n - 1, depth)
+        assert pair_recall(0.5, 0.5, 12, depth) < tree_recall(0.5, 0.5, 12, depth)
+
+
 def test_chosen_path_edges(rows):
     empty = rows([], "business_id string, user_id string")
     assert similar_pairs(empty, record="business_id", token="user_id").count() == 0
