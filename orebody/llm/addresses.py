@@ -1,9 +1,10 @@
 """Addresses that denote the same location, however they are written.
 
-Addresses are cut into components. Street names are indexed by their deletion neighbourhood (each
-name and each name with one letter left out) inside blocks of one town and of one postcode, the
-latter for addresses whose town is missing or misspelt. Streets that meet are compared by the
-cheapest assignment of their name words to each other; type and direction must agree, a missing
+Addresses are cut into components. Street names are indexed by the deletion neighbourhood of each
+word and of all words joined (the word and the word with one letter left out) inside blocks of one
+town and of one postcode, the latter for addresses whose town is missing or misspelt. Streets that
+meet are compared by the cheapest assignment of their name words to each other, in any order, or by
+their letters where words are joined; type and direction must agree, a missing
 type may be filled in if only one street fits. Addresses whose street comes out the same are held
 apart by their building number, a hard veto. Unit, suite, floor and building name are parsed away:
 here they do not distinguish locations, so there is no unit veto.
@@ -45,15 +46,17 @@ def edits(a: str, b: str) -> int:
 def assignment_cost(a: list[str], b: list[str]) -> int:
     """Cheapest one-to-one assignment of words by edits; words left over cost their length.
 
-    Words with a digit must be equal. Exact for up to 6 words, beyond that in the given order.
+    Names without digits of a different number of words may be joined instead: then the edits of all
+    letters count. Words with a digit must be equal. Exact for up to 6 words, beyond that in the given order.
     """
     if a == b:
         return 0
+    joined = 99 if len(a) == len(b) or any(c.isdigit() for x in a + b for c in x) else edits("".join(a), "".join(b))
     short, long = sorted((a, b), key=len)
     cost = [[(99 if x != y else 0) if any(c.isdigit() for c in x + y) else edits(x, y) for y in long] for x in short]
     ways = permutations(range(len(long)), len(short)) if len(long) <= 6 else [range(len(short))]
     total = sum(map(len, long))
-    return min(sum(cost[i][j] for i, j in enumerate(way)) + total - sum(len(long[j]) for j in way) for way in ways)
+    return min(joined, *(sum(cost[i][j] for i, j in enumerate(way)) + total - sum(len(long[j]) for j in way) for way in ways))
 
 
 def _neighbourhood(word: Column) -> Column:
@@ -104,7 +107,7 @@ def _street_links(forms: DataFrame, most_edits: int) -> DataFrame:
     """For each form of a street the street that it stands for: r_town, r_street, r_kind."""
     full = forms.where(F.col("kind").isNotNull() & F.col("town").isNotNull())
     streets = full.groupBy(*_STREET).agg(F.sum("n").alias("t_n"), F.collect_set("postcode").alias("t_codes"))
-    names = lambda c: _neighbourhood(F.replace(F.col(c), F.lit(" "), F.lit("")))
+    names = lambda c: F.array_distinct(F.flatten(F.transform(F.array_append(F.split(F.col(c), " "), F.replace(F.col(c), F.lit(" "), F.lit(""))), _neighbourhood)))
     block = lambda mark, c, v: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(mark), F.col(c), v))
     f = forms.withColumn("_v", F.explode(names("street"))).withColumn("_key", F.explode(F.array_compact(F.array(block("t", "town", F.col("_v")), block("p", "postcode", F.col("_v")))))).drop("_v")
     t = streets.toDF("t_town", "t_street", "t_kind", "t_direction", "t_n", "t_codes").withColumn("_v", F.explode(names("t_street")))
@@ -125,8 +128,10 @@ def _street_links(forms: DataFrame, most_edits: int) -> DataFrame:
     same = (F.col("t_town").eqNullSafe(F.col("town"))) & (F.col("t_street") == F.col("street"))
     # streets one letter apart do exist; a slip is rare, both as such and beside its street
     more = (F.col("t_n") > n) | ((F.col("t_n") == n) & (F.col("t_street") < F.col("street")))
-    better = same | ((n <= RARE) & more) | (n * OFTEN <= F.col("t_n"))
-    typed = typed.where(better).groupBy("form").agg(F.max_by(F.struct("t_town", "t_street", "t_kind"), F.struct(~same, "same_code", "t_n", "t_street", "t_town")).alias("r"))
+    # the same words in another order, or joined, are no other street however frequent they are
+    rewritten = ~same & (F.col("cost") == 0) & F.col("t_town").eqNullSafe(F.col("town"))
+    better = same | ((rewritten | (n <= RARE)) & more) | (n * OFTEN <= F.col("t_n"))
+    typed = typed.where(better).groupBy("form").agg(F.max_by(F.struct("t_town", "t_street", "t_kind"), F.struct(~same, rewritten, "same_code", "t_n", "t_street", "t_town")).alias("r"))
     step = forms.where(F.col("kind").isNotNull()).join(typed, "form", "left").select("form", *_STREET, F.coalesce("r.t_town", "town").alias("r_town"), F.coalesce("r.t_street", "street").alias("r_street"), F.col("kind").alias("r_kind"))
     step = cut(step)
     hop = step.groupBy(*_STREET).agg(F.first("r_town").alias("h_town"), F.first("r_street").alias("h_street"))

@@ -150,6 +150,17 @@ def test_same_locations(rows):
     assert same_locations(df.where("false"), key="business_id", address="address", city="city", postcode="postal_code").count() == 0
 
 
+def test_words_of_a_street_in_another_order(rows):
+    spellings = [("a", "5 Old Mill Rd"), ("b", "5 Mill Old Rd"), ("c", "5 Oldmill Road"), ("d", "5 Mlil Old Rd"), ("e", "5 Mill Rd"), ("f", "5 Old Mill Bridge Rd")]
+    others = [(f"{name}{k}", f"{k} {name} Rd") for name, times in (("Old Mill", 9), ("Mill Old", 4), ("Oldmill", 4), ("Mill", 4), ("Old Mill Bridge", 4)) for k in range(10, 10 + times)]
+    df = rows([(k, x, "Tebizas Falls", "20258") for k, x in spellings + others], "business_id string, address string, city string, postal_code string")
+    located = dict(map(tuple, same_locations(df, key="business_id", address="address", city="city", postcode="postal_code").collect()))
+    assert located["a"] == located["b"] == located["c"] == located["d"]
+    # a word left out makes another street
+    assert len({located["a"], located["e"], located["f"]}) == 3
+    assert assignment_cost(["old", "mill"], ["oldmill"]) == 0 and assignment_cost(["old", "2th"], ["old2th"]) > 1
+
+
 @pytest.mark.parametrize(
     ("address", "want"),
     [
