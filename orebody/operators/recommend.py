@@ -181,3 +181,49 @@ def sentiment(text: Column, lexicon: dict[str, float] | None = None) -> Column:
     table = F.create_map(*[F.lit(x) for pair in sorted(words.items()) for x in pair])
     s = F.aggregate(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), F.lit(0.0), lambda acc, w: acc + F.coalesce(F.element_at(table, w), F.lit(0.0)))
     return F.coalesce(s / F.sqrt(s * s + 15), F.lit(0.0))
+
+
+#: LEXICON and common words of opinion, valences of our own.
+OPINIONS = LEXICON | {
+    "nice": 1.8, "fine": 0.8, "delicious": 2.7, "tasty": 2.2, "perfect": 2.7, "perfectly": 2.7, "awesome": 3.0, "fantastic": 2.8, "wonderful": 2.7, "superb": 3.0,
+    "outstanding": 3.0, "lovely": 2.6, "loved": 2.9, "loves": 2.7, "like": 1.2, "liked": 1.6, "enjoy": 2.0, "enjoyed": 2.2, "enjoyable": 2.1, "favorite": 2.1,
+    "favourite": 2.1, "happy": 2.5, "pleased": 1.9, "pleasant": 2.1, "recommend": 1.7, "recommended": 1.7, "fresh": 1.4, "clean": 1.6, "cozy": 1.7, "cosy": 1.7,
+    "beautiful": 2.8, "helpful": 1.9, "kind": 2.0, "polite": 1.9, "welcoming": 2.0, "attentive": 1.8, "generous": 2.1, "fun": 2.2, "cool": 1.3, "quick": 0.9,
+    "fast": 0.8, "cheap": 0.5, "affordable": 1.2, "impressed": 2.0, "impressive": 2.2, "incredible": 2.8, "brilliant": 2.7, "yummy": 2.4, "juicy": 1.3, "crispy": 1.2,
+    "flavorful": 1.9, "solid": 1.0, "decent": 1.0, "reliable": 1.6, "professional": 1.4, "thanks": 1.6, "thank": 1.5, "win": 2.0, "winner": 2.3, "comfortable": 1.6,
+    "horrible": -2.5, "disgusting": -2.8, "disappointing": -2.1, "disappointed": -2.0, "disappointment": -2.1, "rude": -2.1, "dirty": -1.9, "filthy": -2.4, "gross": -2.1, "nasty": -2.4,
+    "poor": -1.9, "poorly": -1.9, "worse": -2.2, "hate": -2.7, "hated": -2.8, "dislike": -1.6, "disliked": -1.7, "mediocre": -1.1, "bland": -1.2, "stale": -1.5,
+    "cold": -0.6, "burnt": -1.4, "soggy": -1.3, "greasy": -1.2, "dry": -0.6, "raw": -0.7, "undercooked": -1.5, "overcooked": -1.4, "expensive": -1.0, "pricey": -0.9,
+    "noisy": -1.1, "crowded": -0.7, "unfriendly": -1.9, "unprofessional": -2.0, "careless": -1.6, "ignored": -1.5, "wrong": -1.9, "broken": -1.6, "mistake": -1.5, "problem": -1.5,
+    "problems": -1.5, "annoying": -1.8, "annoyed": -1.7, "angry": -2.2, "sad": -2.0, "boring": -1.4, "tasteless": -1.6, "unacceptable": -2.1, "avoid": -1.5, "waste": -1.8,
+    "wasted": -1.9, "scam": -2.6, "fail": -2.1, "failed": -2.1, "sick": -1.9, "smelly": -1.6, "ugly": -2.0, "complain": -1.5, "complaint": -1.4, "unhappy": -1.9,
+}
+NEGATORS = ["not", "no", "never", "nobody", "nothing", "none", "neither", "nor", "without", "hardly", "barely", "cannot", "aint", "cant", "didnt", "doesnt", "dont", "isnt", "wasnt", "werent", "wont"]
+#: What a word adds to the size of the valence right behind it.
+BOOSTERS = {
+    "very": 0.3, "really": 0.3, "so": 0.3, "extremely": 0.3, "absolutely": 0.3, "incredibly": 0.3, "totally": 0.3, "super": 0.3, "most": 0.3, "too": 0.3,
+    "slightly": -0.3, "somewhat": -0.3, "fairly": -0.3, "kinda": -0.3, "almost": -0.3, "partly": -0.3,
+}
+
+
+def opinion(text: Column) -> Column:
+    """Like `sentiment` over OPINIONS, with negation, boosters and exclamation marks; 0 for null.
+
+    A negator turns and weakens the valences of the three words behind it; a booster strengthens or
+    weakens that of the next word; up to four exclamation marks add to the size of the sum.
+    """
+    table = lambda words: F.create_map(*[F.lit(x) for pair in sorted(words.items()) for x in pair])
+    valence, boost = table(OPINIONS), table(BOOSTERS)
+
+    def step(acc: Column, w: Column) -> Column:
+        v = F.coalesce(F.element_at(valence, w), F.lit(0.0))
+        v = F.when(v == 0, v).otherwise(v + F.signum(v) * acc["boost"]) * F.when(acc["negated"] > 0, F.lit(-0.74)).otherwise(F.lit(1.0))
+        negated = F.when(w.isin(NEGATORS) | w.endswith("n't"), F.lit(3)).otherwise(F.greatest(acc["negated"] - 1, F.lit(0)))
+        return F.struct((acc["sum"] + v).alias("sum"), negated.alias("negated"), F.coalesce(F.element_at(boost, w), F.lit(0.0)).alias("boost"))
+
+    words = F.regexp_extract_all(F.replace(F.lower(text), F.lit("\u2019"), F.lit("'")), F.lit("[a-z]+(?:'[a-z]+)?"), F.lit(0))
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("negated"), F.lit(0.0).alias("boost"))
+    plain = F.aggregate(words, start, step, lambda acc: acc["sum"])
+    marks = F.least(F.lit(4), F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))))
+    s = plain + F.signum(plain) * 0.29 * marks
+    return F.coalesce(s / F.sqrt(s * s + 15), F.lit(0.0))

@@ -238,7 +238,7 @@ def _features(spark, d, rows: DataFrame) -> DataFrame:
     b = businesses(spark, d).select(F.col("business_id").alias("item"), F.col("stars").alias("b_stars"), F.col("review_count").cast("double").alias("b_review_count"), "latitude", "longitude")
     tips = table(spark, d, "documents").where((F.col("source") == "tip") & F.col("text").isNotNull() & F.col("user_id").isNotNull() & F.col("business_id").isNotNull())
     tips = tips.groupBy(F.col("user_id").alias("user"), F.col("business_id").alias("item")).agg(F.min("text").alias("tip"))
-    return rows.join(u, "user").join(b, "item").join(tips, ["user", "item"], "left").withColumn("sentiment", recommend.sentiment(F.col("tip"))).drop("tip")
+    return rows.join(u, "user").join(b, "item").join(tips, ["user", "item"], "left").withColumn("sentiment", recommend.opinion(F.col("tip"))).drop("tip")
 
 
 def regression_rating(spark, d):

@@ -130,3 +130,25 @@ def test_sentiment(rows):
     df = rows([("the best, best!",), (None,), ("nothing",)], "t string").select(recommend.sentiment(F.col("t")))
     s = 2 * recommend.LEXICON["best"]
     assert [r[0] for r in df.collect()] == [pytest.approx(s / math.sqrt(s * s + 15)), 0.0, 0.0]
+
+
+def test_opinion(rows):
+    texts = ["nice", "delicious and perfect", "horrible", "rude, disappointing", "good", "not good", "wasn\u2019t very good", "the food was not what we call bad", "good!", "very good", None, "the chair"]
+    got = dict(zip(texts, [r[0] for r in rows([(t,) for t in texts], "t string").select(recommend.opinion(F.col("t"))).collect()]))
+    score = lambda s: pytest.approx(s / math.sqrt(s * s + 15))
+    good = recommend.OPINIONS["good"]
+    assert got["good"] == score(good) and got["not good"] == score(-0.74 * good)
+    assert got["wasn\u2019t very good"] == score(-0.74 * (good + 0.3)) and got["very good"] == score(good + 0.3) and got["good!"] == score(good + 0.29)
+    assert got["nice"] > 0 and got["delicious and perfect"] > got["nice"] and got["horrible"] < 0 and got["rude, disappointing"] < 0
+    assert got["the food was not what we call bad"] < 0  # more than three words behind
+    assert got[None] == got["the chair"] == 0
+
+
+def test_regression_hears_negation(rows, spark, tmp_path):
+    from orebody.plans import core
+
+    rows([("u", "n", 9, "2015", 1, 1, 1, 1, 4.0)], "user_id string, name string, review_count long, yelping_since string, useful long, funny long, cool long, fans long, average_stars double").write.parquet(f"{tmp_path}/users.parquet")
+    rows([("i", "NV", 4.0, 9, 1.0, 1.0)], "business_id string, state string, stars double, review_count long, latitude double, longitude double").write.parquet(f"{tmp_path}/business.parquet")
+    rows([(1, "tip", "not good", "u", "i", None)], "doc_id long, source string, text string, user_id string, business_id string, review_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = core._features(spark, str(tmp_path), rows([("u", "i", 4.0)], "user string, item string, rating double")).first()
+    assert got.sentiment < 0
