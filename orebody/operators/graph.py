@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orebody.session import cut
+from orebody.session import cut, shared_dir
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -158,20 +159,46 @@ def _removals(edges: list[tuple[str, str]], decimals: int) -> list[tuple[float,
             near[b].discard(a)
 
 
-def girvan_newman(edges: DataFrame, *, decimals: int = 9, most_edges: int = 20_000) -> tuple[DataFrame, DataFrame]:
+_SEEN = "component string, step int, value double, src string, dst string, id string, community string"
+
+
+def _spread_removals(placed: DataFrame, decimals: int) -> DataFrame:
+    """`_removals` of components too large for a task, as rows of `_SEEN`: each step is one `betweenness` of what is left of all of them."""
+    spark, path = placed.sparkSession, f"{shared_dir(placed.sparkSession)}/orebody-{uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    left = cut(placed.select("component", "src", "dst"))
+    home = cut(left.select("component", F.explode(F.array("src", "dst")).alias("id")).distinct())
+    step = 0
+    while not left.isEmpty():
+        value = betweenness(left).withColumn("value", F.round("betweenness", decimals)).join(left, ["src", "dst"])
+        high = Window.partitionBy("component")
+        gone = cut(value.withColumn("high", F.max("value").over(high)).where(F.col("value") == F.col("high")).select("component", "value", "src", "dst"))
+        part = home.join(gone.select("component", "value").distinct(), "component").join(components(left).toDF("id", "community"), "id", "left")
+        part = part.select("component", "value", "id", F.coalesce("community", "id").alias("community"))
+        rows = gone.unionByName(part, allowMissingColumns=True).withColumn("step", F.lit(step))
+        rows.select(*[F.col(c).cast(t) for c, t in (x.split() for x in _SEEN.split(", "))]).write.mode("append").parquet(path)
+        left = cut(left.join(gone.select("src", "dst"), ["src", "dst"], "left_anti"))
+        step += 1
+    return spark.read.schema(_SEEN).parquet(path)
+
+
+def girvan_newman(edges: DataFrame, *, decimals: int = 9, most_edges: int | None = None, task_edges: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Two tables: (round, src, dst, betweenness) of edges in order of removal, and (id, community) of the best split.
 
     In each round all edges tied for the largest betweenness of the whole graph go; before it, the
     parts are scored by modularity on the original graph, and the first largest score wins. Edges
     of one component do not bear on another, so components are worked off side by side and their
-    rounds merged by value. One component costs edges^2 x vertices on one core by nature of the
-    method: one of more than `most_edges` edges raises an error before the work begins.
+    rounds merged by value. One component costs edges^2 x vertices by nature of the method: up to
+    `task_edges` edges it is one task's work, beyond that each round is spread over all executors.
+    With `most_edges`, a component of more edges raises an error before the work begins.
     """
     e = cut(undirected(edges))
     home = cut(components(e))
     placed = cut(e.join(home.toDF("src", "component"), "src"))
-    largest = placed.groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    if largest > most_edges:
+    sizes = cut(placed.groupBy("component").agg(F.count("*").alias("n")))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if most_edges is not None and largest > most_edges:
         raise ValueError(f"a component has {largest} edges; at most {most_edges} can be split exactly")
 
     def split(rows: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +208,10 @@ def girvan_newman(edges: DataFrame, *, decimals: int = 9, most_edges: int = 20_0
             found += [(rows["component"].iloc[0], step, value, None, None, v, p) for v, p in part.items()]
         return pd.DataFrame(found, columns=["component", "step", "value", "src", "dst", "id", "community"])
 
-    seen = cut(placed.groupBy("component").applyInPandas(split, "component string, step int, value double, src string, dst string, id string, community string"))
+    of_size = lambda fits: placed.join(sizes.where(fits), "component", "left_semi")
+    seen = cut(of_size(F.col("n") <= task_edges).groupBy("component").applyInPandas(split, _SEEN))
+    if largest > task_edges:
+        seen = seen.unionByName(_spread_removals(of_size(F.col("n") > task_edges), decimals))
     own = Window.partitionBy("component").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     steps = seen.select("component", "step", "value").distinct().withColumn("bound", F.min("value").over(own))
     # a step waits for the least value before it in its component; equal values of several components go together

@@ -200,6 +200,15 @@ def test_girvan_newman(rows, network):
         graph.girvan_newman(rows(network, "src string, dst string"), most_edges=3)
 
 
+def test_girvan_newman_beyond_one_task(rows):
+    edges = [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("d", "e"), ("d", "f"), ("e", "f"), ("p", "q"), ("q", "r"), ("r", "s"), ("x", "y")]
+    df = rows(edges, "src string, dst string")
+    want = [tuples(x) for x in graph.girvan_newman(df)]
+    # two components spread over the executors, one in a task
+    assert [tuples(x) for x in graph.girvan_newman(df, task_edges=2)] == want
+    assert len(want[0]) == len(edges)
+
+
 def test_itemsets_equal_fpgrowth(rows):
     from pyspark.ml.fpm import FPGrowth
 
