@@ -139,24 +139,25 @@ QUERIES |= {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_fou
 SQL |= {"p8_round_trip": P8_SQL, "p9_found": P9_SQL}
 
 
-def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, aliases = table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_alias")
-    model = fit_languages(docs, aliases, key="doc_id", text="text", label="lang", alias="label", language="lang")
-    return identify_languages(docs, model, key="doc_id", text="text")
+def _languages(spark: SparkSession, sf_dir: str, docs: DataFrame, **more) -> DataFrame:
+    every, aliases = table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_alias")
+    model = fit_languages(every, aliases, key="doc_id", text="text", label="lang", alias="label", language="lang")
+    return identify_languages(docs, model, key="doc_id", text="text", **more)
 
 
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each stretch of one language in each document, with its confidence."""
-    return _languages(spark, sf_dir).select("doc_id", F.posexplode("segments").alias("segment", "s")).select("doc_id", "segment", "s.*")
+    held = _languages(spark, sf_dir, table(spark, sf_dir, "documents"))
+    return held.select("doc_id", F.posexplode("segments").alias("segment", "s")).select("doc_id", "segment", "s.*")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of the texts that hold several, or whose label is missing, unknown or not among them."""
-    docs = table(spark, sf_dir, "documents").where(F.length(F.regexp_replace("text", r"\P{L}", "")) >= 10).select("doc_id", F.col("lang").alias("label"))
-    aliases = F.broadcast(table(spark, sf_dir, "lang_alias").withColumnRenamed("lang", "named"))  # of fixed size
-    held = _languages(spark, sf_dir).select("doc_id", F.transform("languages", lambda x: x["lang"]).alias("langs"))
+    docs = table(spark, sf_dir, "documents").where(F.length(F.regexp_replace("text", r"\P{L}+", "")) >= 10)
+    aliases = F.broadcast(table(spark, sf_dir, "lang_alias").toDF("label", "named"))  # of fixed size
+    held = _languages(spark, sf_dir, docs, keep=["lang"]).select("doc_id", F.col("lang").alias("label"), F.transform("languages", lambda x: x["lang"]).alias("langs"))
     case = (F.size("langs") > 1) | F.col("named").isNull() | ~F.array_contains("langs", F.col("named"))
-    return docs.join(held, "doc_id").join(aliases, "label", "left").where(case).select("doc_id", F.explode("langs").alias("lang")).distinct()
+    return held.join(aliases, "label", "left").where(case).select("doc_id", F.explode("langs").alias("lang"))
 
 
 QUERIES |= {"p10_found": p10_found, "p10_segments": p10_segments}

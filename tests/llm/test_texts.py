@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from orebody.llm.encode import TreeEncoder, decode_corpus, encode_corpus
-from orebody.llm.langid import fit_languages, identify_languages, languages_held, repaired, segments_of, sentences, train
+from orebody.llm.langid import classified, fit_languages, identify_languages, languages_held, repaired, sentences, train
 from orebody.llm.leaks import find_leaks, words_of
 from tests.conftest import tuples
 
@@ -143,11 +144,50 @@ def test_languages_of_held_out_texts(rows, corpus):
     assert fit_languages(docs.where("false"), aliases, key="doc_id", text="text", label="lang", alias="label", language="lang") is None
 
 
+def held_by(model, texts):
+    return [{x for x, _ in languages_held(own, model)} for own in classified([sentences(t) for t in texts], model)]
+
+
+def fitted(corpus, **more):
+    pairs = [(s.words, label) for _, t, label, _ in corpus for s in sentences(t)]
+    return train([w for w, _ in pairs], [x for _, x in pairs], **more)
+
+
 def test_borrowed_words_do_not_count(corpus):
-    model = train([t for _, t, _, _ in corpus], [x for *_, x in corpus])
     text = "We waited 20 minutes at Tusen before the soup arrived. (crème brûlée) The owner of Odenu was friendly. Est-ce que?"
-    found = sentences(text)
-    assert [x for x, _ in languages_held(segments_of(found, model.confidence([t for *_, t in found]), model), model)] == ["en"]
+    assert held_by(fitted(corpus), [text]) == [{"en"}]
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_every_draw_of_the_fit_is_sound(seed):
+    """Recall and precision of each language on held-out texts, though a tenth of the labels is wrong."""
+    rng = random.Random(seed)
+    sample = [(k, say(rng, a, rng.randint(1, 5)), a if rng.random() < 0.9 else rng.choice(list(TEMPLATES)), a) for k in range(300) for a in [rng.choice(["en", "en", "en", *TEMPLATES])]]
+    model = fitted(sample, seed=seed)
+    assert 0.5 <= model.reject <= 0.9
+    tests = [(say(rng, a, 3), {a}) for a in TEMPLATES for _ in range(40)] + [(say(rng, a, 2) + " " + say(rng, b, 2), {a, b}) for a in TEMPLATES for b in TEMPLATES if a != b for _ in range(4)]
+    got = held_by(model, [t for t, _ in tests])
+    for a in TEMPLATES:
+        true, found = [a in want for _, want in tests], [a in own for own in got]
+        both = sum(x and y for x, y in zip(true, found))
+        assert both >= 0.95 * sum(true) and both >= 0.95 * sum(found)
+
+
+def test_a_fit_that_is_not_finite_is_an_error(corpus):
+    with pytest.raises(ArithmeticError), np.errstate(all="ignore"):
+        fitted(corpus[:100], rate=float("inf"))
+
+
+def test_long_tags_are_markup():
+    (one,) = sentences(f'<a href="{"x y " * 200}">Hello there</a>')
+    assert one.words == ["hello", "there"]
+
+
+def test_columns_kept_beside(rows, corpus):
+    df = rows([(k, t, label) for k, t, label, _ in corpus[:20]] + [(99, None, None)], "doc_id bigint, text string, lang string")
+    got = identify_languages(df, fitted(corpus), key="doc_id", text="text", keep=["lang"])
+    assert got.columns == ["doc_id", "lang", "languages", "segments"]
+    assert {(r.doc_id, r.lang) for r in got.collect()} == {(r.doc_id, r.lang) for r in df.collect()}
 
 
 def test_repair():
