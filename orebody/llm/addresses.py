@@ -2,8 +2,9 @@
 
 Addresses are cut into components. Street names are indexed by the deletion neighbourhood of each
 word and of all words joined (the word and the word with one letter left out) inside blocks of one
-town and of one postcode, the latter for addresses whose town is missing or misspelt. Streets that
-meet are compared by the cheapest assignment of their name words to each other, in any order, or by
+town and of one postcode, the latter for addresses whose town is missing or misspelt; a missing town
+comes from the postcode or, where that is met once only, from neighbouring ones. Streets that meet are
+compared by the cheapest assignment of their name words to each other, in any order, or by
 their letters where words are joined; type and direction must agree, a missing
 type may be filled in if only one street fits. Addresses whose street comes out the same are held
 apart by their building number, a hard veto. Unit, suite, floor and building name are parsed away:
@@ -12,21 +13,19 @@ here they do not distinguish locations, so there is no unit veto.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
-from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orebody.functions.skew import all_salts, hot_buckets, salt_of
 from orebody.llm.address_parse import parse_address
-from orebody.session import cut
+from orebody.session import cut, written
 
-_PARTS = ["number", "street", "kind", "direction", "town", "postcode"]
-_STREET = ["town", "street", "kind", "direction"]
-#: A spelling of at most RARE addresses, or with OFTEN times fewer than another, may be a slip of that.
-RARE, OFTEN = 2, 50
+_FORM = ["town", "street", "kind", "direction", "postcode"]
 
 
 def edits(a: str, b: str) -> int:
@@ -43,20 +42,47 @@ def edits(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
+def _cheapest(cost: np.ndarray) -> int:
+    """Least sum of a one-to-one assignment of all rows to columns (rows <= columns), by shortest augmenting paths."""
+    n, m = cost.shape
+    row_price, column_price, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        owner[0], at = i, 0
+        reach, back, done = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while owner[at]:
+            done[at] = True
+            slack = np.concatenate([[np.inf], cost[owner[at] - 1] - row_price[owner[at]] - column_price[1:]])
+            closer = ~done & (slack < reach)
+            reach[closer], back[closer] = slack[closer], at
+            following = int(np.where(done, np.inf, reach).argmin())
+            step = reach[following]
+            row_price[owner[done]] += step
+            column_price[done] -= step
+            reach[~done] -= step
+            at = following
+        while at:
+            owner[at], at = owner[back[at]], back[at]
+    return int(sum(cost[owner[j] - 1, j - 1] for j in range(1, m + 1) if owner[j]))
+
+
 def assignment_cost(a: list[str], b: list[str]) -> int:
     """Cheapest one-to-one assignment of words by edits; words left over cost their length.
 
     Names without digits of a different number of words may be joined instead: then the edits of all
-    letters count. Words with a digit must be equal. Exact for up to 6 words, beyond that in the given order.
+    letters count. Words with a digit must be equal.
     """
     if a == b:
         return 0
-    joined = 99 if len(a) == len(b) or any(c.isdigit() for x in a + b for c in x) else edits("".join(a), "".join(b))
-    short, long = sorted((a, b), key=len)
-    cost = [[(99 if x != y else 0) if any(c.isdigit() for c in x + y) else edits(x, y) for y in long] for x in short]
-    ways = permutations(range(len(long)), len(short)) if len(long) <= 6 else [range(len(short))]
-    total = sum(map(len, long))
-    return min(joined, *(sum(cost[i][j] for i, j in enumerate(way)) + total - sum(len(long[j]) for j in way) for way in ways))
+    digits = any(c.isdigit() for x in a + b for c in x)
+    joined = 99 if len(a) == len(b) or digits else edits("".join(a), "".join(b))
+    # equal words stay together: edits obey the triangle inequality
+    short, long = sorted((list((Counter(a) - Counter(b)).elements()), list((Counter(b) - Counter(a)).elements())), key=len)
+    spare = sum(map(len, long))
+    if not short:
+        return min(joined, spare)
+    # a word left over costs its length, so an assignment costs its edits less the lengths of the words it takes
+    cost = np.array([[(99 if any(c.isdigit() for c in x + y) else edits(x, y)) - len(y) for y in long] for x in short])
+    return min(joined, _cheapest(cost) + spare)
 
 
 def _neighbourhood(word: Column) -> Column:
@@ -66,35 +92,46 @@ def _neighbourhood(word: Column) -> Column:
 
 
 def parse_addresses(df: DataFrame, *, key: str, address: str, city: str, postcode: str) -> DataFrame:
-    """(key, number, street, kind, direction, town, postcode) of the rows with a number and a street."""
+    """(key, number, form, spelling) of the rows with a number and a street.
+
+    `form` joins town, street, type, direction and postcode, empty where unknown, by |, which no
+    component holds; `spelling` is a hash of the address as it was written.
+    """
     rows = df.where(F.col(key).isNotNull() & F.col(address).isNotNull()).select(F.col(key).alias("_key"), *[F.col(c).cast("string") for c in (address, city, postcode)]).distinct()
+    rows = rows.withColumn("spelling", F.xxhash64(*rows.columns[1:]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [parse_address(*x) for x in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))]
-            keep = np.array([bool(p.number and p.street) for p in found], bool)
-            found = [p for p, k in zip(found, keep) if k]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), *[pa.array([getattr(p, c) for p in found], pa.string()) for c in _PARTS]], names=["_key", *_PARTS])
+            keep = pa.array([bool(p.number and p.street) for p in found], pa.bool_())
+            found = [p for p in found if p.number and p.street]
+            forms = ["|".join(getattr(p, c) or "" for c in _FORM) for p in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), pa.array([p.number for p in found], pa.string()), pa.array(forms, pa.string()), batch.column(4).filter(keep)], names=["_key", "number", "form", "spelling"])
 
     kind = rows.schema["_key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"_key {kind}, " + ", ".join(f"{c} string" for c in _PARTS)).distinct()
+    return rows.mapInArrow(run, f"_key {kind}, number string, form string, spelling bigint")
 
 
-def _resolved_towns(rows: DataFrame, rare: int = 3, ratio: int = 4) -> DataFrame:
-    """`rows` with misspelt towns corrected, missing ones taken from the postcode, and `sure`: the town is well known."""
-    towns = rows.where(F.col("town").isNotNull()).groupBy("town").agg(F.count("*").alias("n"))
+def _resolved_towns(forms: DataFrame, rare: int, ratio: int) -> DataFrame:
+    """`forms` with misspelt towns corrected, missing ones taken from postcodes, and `sure`: the town is well known."""
+    towns = cut(forms.where(F.col("town").isNotNull()).groupBy("town").agg(F.sum("n").alias("n")))
     keys = towns.select("town", "n", F.explode(_neighbourhood(F.col("town"))).alias("v"))
-    apart, sorted_letters = F.levenshtein("a.town", "b.town"), lambda c: F.array_sort(F.split(F.col(c), ""))
+    apart, sorted_letters = F.levenshtein("a.town", "b.town", 2), lambda c: F.array_sort(F.split(F.col(c), ""))
     slip = (apart == 1) | ((apart == 2) & (sorted_letters("a.town") == sorted_letters("b.town")))  # the latter: neighbours swapped
     pairs = keys.alias("a").join(keys.alias("b"), "v").where((F.col("b.n") >= ratio * F.col("a.n")) & slip)
-    best = pairs.groupBy(F.col("a.town").alias("town")).agg(F.max_by(F.col("b.town"), F.struct(F.col("b.n"), F.col("b.town"))).alias("right"))
-    towns = towns.join(best, "town", "left").select("town", F.coalesce("right", "town").alias("right"), (F.col("right").isNotNull() | (F.col("n") > rare)).alias("sure"))
-    rows = rows.join(towns, "town", "left").withColumn("town", F.col("right")).drop("right")
-    by_code = rows.where(F.col("town").isNotNull() & F.col("postcode").isNotNull()).groupBy("postcode", "town").agg(F.count("*").alias("n"))
-    by_code = by_code.groupBy("postcode").agg(F.max_by("town", F.struct("n", "town")).alias("there"))
-    missing = rows.where(F.col("town").isNull()).join(by_code, "postcode", "left")
-    missing = missing.withColumn("town", F.col("there")).withColumn("sure", F.lit(False)).drop("there")
-    return rows.where(F.col("town").isNotNull()).withColumn("sure", F.coalesce("sure", F.lit(False))).unionByName(missing)
+    pairs = pairs.select(F.col("a.town").alias("town"), F.col("a.n").alias("n"), F.struct(F.col("b.n"), F.col("b.town").alias("right")).alias("best"))
+    known = towns.select("town", "n", F.lit(None).cast("struct<n: bigint, right: string>").alias("best")).unionByName(pairs).groupBy("town", "n").agg(F.max("best").alias("best"))
+    known = known.select("town", F.coalesce("best.right", "town").alias("right"), (F.col("best").isNotNull() | (F.col("n") > rare)).alias("sure"))
+    held = forms.where(F.col("town").isNotNull()).join(known, "town").withColumn("town", F.col("right")).drop("right")
+    held = cut(held)
+    # neighbouring postcodes: the same but for the last sign, or the last two
+    near = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.concat(k.cast("string"), F.substring("postcode", F.lit(1), F.length("postcode") - k))))
+    by_code = held.where(F.col("postcode").isNotNull()).select("town", "n", near.alias("far", "code")).groupBy("code", "town").agg(F.sum("n").alias("n"))
+    by_code = by_code.groupBy("code").agg(F.max_by("town", F.struct("n", "town")).alias("there"))
+    missing = forms.where(F.col("town").isNull() & F.col("postcode").isNotNull())
+    found = missing.select("form", near.alias("far", "code")).join(by_code, "code").groupBy("form").agg(F.min_by("there", "far").alias("there"))
+    missing = missing.join(found, "form").withColumn("town", F.col("there")).drop("there").withColumn("sure", F.lit(False))
+    return held.unionByName(missing)
 
 
 def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,79 +140,79 @@ def _costs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("cost", pa.array([assignment_cost(a.split(), b.split()) for a, b in zip(own, other)], pa.int32()))
 
 
-def _street_links(forms: DataFrame, most_edits: int) -> DataFrame:
-    """For each form of a street the street that it stands for: r_town, r_street, r_kind."""
-    full = forms.where(F.col("kind").isNotNull() & F.col("town").isNotNull())
-    streets = full.groupBy(*_STREET).agg(F.sum("n").alias("t_n"), F.collect_set("postcode").alias("t_codes"))
+def _street_links(forms: DataFrame, most_edits: int, rare: int, often: int) -> DataFrame:
+    """(form, place) for each form: the street that it stands for."""
+    place = F.concat_ws("|", "town", F.coalesce("direction", F.lit("")), "street", F.coalesce("kind", F.lit("")))
+    forms = forms.withColumn("own", place)
+    full = forms.where(F.col("kind").isNotNull())
+    streets = cut(full.groupBy("own", "town", "street", "kind", "direction").agg(F.sum("n").alias("s_n"), F.collect_set("postcode").alias("codes")))
     names = lambda c: F.array_distinct(F.flatten(F.transform(F.array_append(F.split(F.col(c), " "), F.replace(F.col(c), F.lit(" "), F.lit(""))), _neighbourhood)))
     block = lambda mark, c, v: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(mark), F.col(c), v))
-    f = forms.withColumn("_v", F.explode(names("street"))).withColumn("_key", F.explode(F.array_compact(F.array(block("t", "town", F.col("_v")), block("p", "postcode", F.col("_v")))))).drop("_v")
-    t = streets.toDF("t_town", "t_street", "t_kind", "t_direction", "t_n", "t_codes").withColumn("_v", F.explode(names("t_street")))
-    t = t.withColumn("_key", F.explode(F.concat(F.array(F.xxhash64(F.lit("t"), "t_town", "_v")), F.transform("t_codes", lambda c: F.xxhash64(F.lit("p"), c, F.col("_v")))))).drop("_v")
+    f = forms.join(streets.select("own", "s_n"), "own", "left").withColumn("_v", F.explode(names("street")))
+    f = f.withColumn("_block", F.explode(F.array_compact(F.array(block("t", "town", F.col("_v")), block("p", "postcode", F.col("_v")))))).drop("_v")
+    t = streets.toDF("t_own", "t_town", "t_street", "t_kind", "t_direction", "t_n", "t_codes").withColumn("_v", F.explode(names("t_street")))
+    t = t.withColumn("_block", F.explode(F.concat(F.array(F.xxhash64(F.lit("t"), "t_town", "_v")), F.transform("t_codes", lambda c: F.xxhash64(F.lit("p"), c, F.col("_v")))))).drop("_v")
     same_code = F.coalesce(F.array_contains("t_codes", F.col("postcode")), F.lit(False))
     town = (F.col("t_town") == F.col("town")) | (~F.col("sure") & same_code)
     code = same_code | F.col("postcode").isNull() | (F.size("t_codes") == 0)
     kind = F.col("kind").isNull() | (F.col("kind") == F.col("t_kind"))
-    met = f.join(t, "_key").where(F.coalesce(town, F.lit(False)) & code & kind & F.col("direction").eqNullSafe(F.col("t_direction")))
-    met = met.withColumn("same_code", same_code).drop("_key", "t_codes").dropDuplicates(["form", "t_town", "t_street", "t_kind"])
+    met = f.join(t, "_block").where(town & code & kind & F.col("direction").eqNullSafe(F.col("t_direction")))
+    met = met.withColumn("same_code", same_code).select("form", "own", "kind", "town", "street", "n", "s_n", "t_own", "t_town", "t_street", "t_n", "same_code")
+    met = met.repartition("form").dropDuplicates(["form", "t_own"])
     fields = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in met.schema) + ", cost int"
-    met = met.mapInArrow(_costs, fields).where(F.col("cost") <= most_edits)
+    met = cut(met.mapInArrow(_costs, fields).where(F.col("cost") <= most_edits))
 
     # a street's own spelling against more frequent ones of the same type; two rounds reach the most frequent
-    own = streets.select(F.col("town").alias("o_town"), F.col("street").alias("o_street"), F.col("kind").alias("o_kind"), F.col("direction").alias("o_direction"), F.col("t_n").alias("o_n"))
-    typed = met.where(F.col("kind").isNotNull()).join(own, (F.col("town") == F.col("o_town")) & (F.col("street") == F.col("o_street")) & (F.col("kind") == F.col("o_kind")) & F.col("direction").eqNullSafe(F.col("o_direction")), "left")
-    n = F.coalesce("o_n", "n")
-    same = (F.col("t_town").eqNullSafe(F.col("town"))) & (F.col("t_street") == F.col("street"))
+    same = F.col("t_own") == F.col("own")
     # streets one letter apart do exist; a slip is rare, both as such and beside its street
+    n = F.coalesce("s_n", "n")
     more = (F.col("t_n") > n) | ((F.col("t_n") == n) & (F.col("t_street") < F.col("street")))
     # the same words in another order, or joined, are no other street however frequent they are
-    rewritten = ~same & (F.col("cost") == 0) & F.col("t_town").eqNullSafe(F.col("town"))
-    better = same | ((rewritten | (n <= RARE)) & more) | (n * OFTEN <= F.col("t_n"))
-    typed = typed.where(better).groupBy("form").agg(F.max_by(F.struct("t_town", "t_street", "t_kind"), F.struct(~same, rewritten, "same_code", "t_n", "t_street", "t_town")).alias("r"))
-    step = forms.where(F.col("kind").isNotNull()).join(typed, "form", "left").select("form", *_STREET, F.coalesce("r.t_town", "town").alias("r_town"), F.coalesce("r.t_street", "street").alias("r_street"), F.col("kind").alias("r_kind"))
-    step = cut(step)
-    hop = step.groupBy(*_STREET).agg(F.first("r_town").alias("h_town"), F.first("r_street").alias("h_street"))
-    jump = lambda df, kind_of: df.join(
-        hop.select(F.col("town").alias("j_town"), F.col("street").alias("j_street"), F.col("kind").alias("j_kind"), F.col("direction").alias("j_direction"), "h_town", "h_street"),
-        (F.col("r_town") == F.col("j_town")) & (F.col("r_street") == F.col("j_street")) & (F.col(kind_of) == F.col("j_kind")) & F.col("direction").eqNullSafe(F.col("j_direction")), "left",
-    ).withColumn("r_town", F.coalesce("h_town", "r_town")).withColumn("r_street", F.coalesce("h_street", "r_street")).drop("j_town", "j_street", "j_kind", "j_direction", "h_town", "h_street")
-    typed = jump(step, "r_kind").select("form", "r_town", "r_street", "r_kind")
+    rewritten = ~same & (F.col("cost") == 0) & (F.col("t_town") == F.col("town"))
+    better = same | ((rewritten | (n <= rare)) & more) | (n * often <= F.col("t_n"))
+    typed = met.where(F.col("kind").isNotNull() & better).groupBy("form", "own").agg(F.max(F.struct(~same, rewritten, "same_code", "t_n", "t_street", "t_town", "t_own", "n")).alias("r"))
+    typed = cut(typed.select("form", "own", F.col("r.t_own").alias("right"), F.col("r.n").alias("n")))
+    hop = typed.groupBy("own").agg(F.max_by("right", F.struct("n", "right")).alias("hop")).withColumnRenamed("own", "right")
 
     # without a type: the one street that fits, first among equal names, then among near ones
-    untyped = met.where(F.col("kind").isNull()).select("form", "direction", "cost", F.col("t_town").alias("r_town"), F.col("t_street").alias("r_street"), F.col("t_kind").alias("r_kind"))
-    untyped = jump(untyped, "r_kind").groupBy("form", "r_town", "r_street", "r_kind").agg(F.min("cost").alias("cost"))
-    untyped = untyped.groupBy("form", "cost").agg(F.count("*").alias("c"), F.first(F.struct("r_town", "r_street", "r_kind")).alias("r"))
-    untyped = untyped.groupBy("form").agg(F.min_by(F.struct("c", "r"), "cost").alias("b")).where(F.col("b.c") == 1)
-    bare = forms.where(F.col("kind").isNull()).join(untyped, "form", "left").select("form", F.coalesce("b.r.r_town", "town").alias("r_town"), F.coalesce("b.r.r_street", "street").alias("r_street"), F.col("b.r.r_kind").alias("r_kind"))
-    return typed.unionByName(bare)
+    bare = met.where(F.col("kind").isNull()).select("form", F.col("t_own").alias("right"), "cost")
+    both = typed.select("form", "right", F.lit(-1).alias("cost")).unionByName(bare).join(hop, "right", "left").select("form", F.coalesce("hop", "right").alias("right"), "cost")
+    both = both.groupBy("form", "right").agg(F.min("cost").alias("cost")).groupBy("form", "cost").agg(F.count("*").alias("c"), F.first("right").alias("right"))
+    best = both.groupBy("form").agg(F.min_by(F.struct("c", "right"), "cost").alias("b")).where(F.col("b.c") == 1).select("form", F.col("b.right").alias("place"))
+    return forms.select("form", "own").join(best, "form", "left").select("form", F.coalesce("place", "own").alias("place"))
 
 
-def same_locations(df: DataFrame, *, key: str, address: str, city: str, postcode: str, most_edits: int = 1) -> DataFrame:
+def same_locations(df: DataFrame, *, key: str, address: str, city: str, postcode: str, most_edits: int = 1, slip_rows: int = 2, slip_ratio: int = 50, town_rows: int = 3, town_ratio: int = 4) -> DataFrame:
     """(key, location) of every row whose address has a building number, a street and a town.
 
     Rows with equal `location` stand at the same number of the same street of the same town. Null,
     blank and unreadable addresses and null keys give no row; repeated rows count once; a key with
     several addresses comes out with each; other columns are not read. A town missing from both city
-    and address is taken from the postcode; if that is unknown too, there is no row.
+    and address is taken from the postcode or its neighbours; if those are unknown too, there is no row.
+
+    Streets one letter apart exist, so a spelling is taken for a slip of a more frequent one only if
+    it was written in at most `slip_rows` ways or `slip_ratio` times less often; a town is taken for a
+    slip of one `town_ratio` times as frequent, and is well known beyond `town_rows`. What is counted are
+    distinct ways of writing whole addresses: copies of a table or of its rows change nothing.
 
     Text is parsed once a row; all matching runs over distinct street spellings with their counts, so
     a building or street with a third of all rows costs no more than a rare one.
     """
     parsed = cut(parse_addresses(df, key=key, address=address, city=city, postcode=postcode))
-    rows = _resolved_towns(parsed)
-    forms = rows.groupBy(*_STREET, "postcode", "sure").agg(F.count("*").alias("n"))
-    forms = cut(forms.withColumn("form", F.monotonically_increasing_id()))
-    links = _street_links(forms, most_edits)
-    streets = forms.join(links, "form").where(F.col("r_town").isNotNull())
-    streets = streets.select(*[F.col(c).alias(f"k_{c}") for c in [*_STREET, "postcode"]], "r_town", "r_street", "r_kind").distinct()
-    same = F.lit(True)
-    for c in [*_STREET, "postcode"]:
-        same = same & F.col(c).eqNullSafe(F.col(f"k_{c}"))
-    place = F.concat_ws("|", "r_town", F.coalesce("direction", F.lit("")), "r_street", F.coalesce("r_kind", F.lit("")), "number")
-    return rows.join(streets, same).select(F.col("_key").alias(key), place.alias("location")).distinct()
+    part = lambda k: F.nullif(F.split("form", r"\|")[k], F.lit(""))
+    forms = parsed.groupBy("form", "spelling").agg(F.lit(1).alias("one")).groupBy("form").agg(F.count("*").alias("n"))
+    forms = cut(forms.select("form", *[part(k).alias(c) for k, c in enumerate(_FORM)], "n"))
+    links = _street_links(cut(_resolved_towns(forms, town_rows, town_ratio)), most_edits, slip_rows, slip_ratio)
+    placed = parsed.select("_key", "number", "form").join(links, "form").select(F.col("_key").alias(key), F.concat_ws("|", "place", "number").alias("location"))
+    return written(placed.distinct())
 
 
 def location_pairs(located: DataFrame, *, key: str) -> DataFrame:
-    """(key_1, key_2), key_1 < key_2, of different keys at one location: as many rows as the question asks for."""
-    a, b = located.select("location", F.col(key).alias("key_1")), located.select("location", F.col(key).alias("key_2"))
-    return a.join(b, "location").where(F.col("key_1") < F.col("key_2")).select("key_1", "key_2").distinct()
+    """(key_1, key_2), key_1 < key_2, of different keys at one location: as many rows as the question asks for.
+
+    A location with very many keys is split by one side's keys, so that no task joins all of it.
+    """
+    hot = hot_buckets(located, "location")
+    a = located.select("location", salt_of(hot, ["location"], [key]).alias("_salt"), F.col(key).alias("key_1"))
+    b = located.select("location", F.explode(all_salts(hot, ["location"])).alias("_salt"), F.col(key).alias("key_2"))
+    return a.join(b, ["location", "_salt"]).where(F.col("key_1") < F.col("key_2")).select("key_1", "key_2").distinct()

@@ -2,7 +2,7 @@
 
 import random
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -161,6 +161,42 @@ def test_words_of_a_street_in_another_order(rows):
     assert assignment_cost(["old", "mill"], ["oldmill"]) == 0 and assignment_cost(["old", "2th"], ["old2th"]) > 1
 
 
+def test_assignment_equals_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = (["".join(rng.choices("ab", k=rng.randint(1, 3))) for _ in range(rng.randint(1, 5))] for _ in range(2))
+        short, long = sorted((a, b), key=len)
+        ways = [sum(edits(x, y) for x, y in zip(short, way)) + sum(map(len, long)) - sum(map(len, way)) for way in permutations(long, len(short))]
+        joined = [edits("".join(a), "".join(b))] if len(a) != len(b) else []
+        assert assignment_cost(a, b) == min(ways + joined)
+
+
+def test_copies_of_a_table_change_nothing(rows):
+    base = [(f"x{k}", f"{k} Nojewe Ln", "Tebizas Falls", "20258") for k in range(9)] + [("s", "4 Nojwee Ln", "Tebizas Falls", "20258"), ("t", "4 Nojete Ln", "Tebizas Falls", "20258"), ("u", "5 nojete ln", "Tebizas Falls", "20258"), ("v", "6 Nojete Lane", "Tebizas Falls", "20258")]
+    names = "business_id string, address string, city string, postal_code string"
+    found = []
+    for times in (1, 6):
+        df = rows([(f"{k}_{c}", *x) for k, *x in base for c in range(times)], names)
+        located = dict(map(tuple, same_locations(df, key="business_id", address="address", city="city", postcode="postal_code").collect()))
+        found.append({k: located[f"{k}_0"] for k, *_ in base})
+    assert found[0] == found[1]
+    assert found[0]["s"] == found[0]["x4"] != found[0]["t"]
+
+
+def test_town_from_a_neighbouring_postcode(rows):
+    df = rows([(f"x{k}", f"{k} Nojewe Ln", "Tebizas Falls", "20258") for k in range(6)] + [("a", "3 Nojewe Ln", None, "20251"), ("b", "3 Nojewe Ln", " ", "99999"), ("c", "3 Nojewe Ln", None, None)], "business_id string, address string, city string, postal_code string")
+    located = dict(map(tuple, same_locations(df, key="business_id", address="address", city="city", postcode="postal_code").collect()))
+    assert located["a"] == located["x3"] and "b" not in located and "c" not in located
+
+
+def test_a_hot_location_is_split(rows, monkeypatch):
+    import orebody.llm.addresses as addresses
+
+    monkeypatch.setattr(addresses, "hot_buckets", lambda *a, **k: list(range(4096)))
+    pairs = location_pairs(rows([(f"k{k}", "here") for k in range(30)] + [("z", "there")], "k string, location string"), key="k")
+    assert {tuple(r) for r in pairs.collect()} == set(combinations(sorted(f"k{k}" for k in range(30)), 2))
+
+
 @pytest.mark.parametrize(
     ("address", "want"),
     [
@@ -180,4 +216,6 @@ def test_parts():
     assert town_of("Pipüner Hts") == "pipunerheights" and town_of(" ") is None
     assert postcode_of("20258-7763") == "20258" and postcode_of("h5z 0x2") == "h5z0x2" and postcode_of("12") is None
     assert edits("leajvand", "lejavand") == 1 and edits("", "ab") == 2
+    words = "old mill upper canal saint velda north gate bridge end".split()
+    assert assignment_cost(words, words[::-1]) == 0 and assignment_cost(words, [*words[:0:-1], "odl"]) == 1
     assert assignment_cost(["old", "mill"], ["mill", "old"]) == 0 and assignment_cost(["2th"], ["5th"]) == 99
