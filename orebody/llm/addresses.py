@@ -149,14 +149,16 @@ def _street_links(forms: DataFrame, most_edits: int, rare: int, often: int) -> D
     names = lambda c: F.array_distinct(F.flatten(F.transform(F.array_append(F.split(F.col(c), " "), F.replace(F.col(c), F.lit(" "), F.lit(""))), _neighbourhood)))
     block = lambda mark, c, v: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(mark), F.col(c), v))
     f = forms.join(streets.select("own", "s_n"), "own", "left").withColumn("_v", F.explode(names("street")))
-    f = f.withColumn("_block", F.explode(F.array_compact(F.array(block("t", "town", F.col("_v")), block("p", "postcode", F.col("_v")))))).drop("_v")
+    f = f.withColumn("_block", F.explode(F.array_compact(F.array(block("t", "town", F.col("_v")), F.when(~F.col("sure"), block("p", "postcode", F.col("_v"))))))).drop("_v")
     t = streets.toDF("t_own", "t_town", "t_street", "t_kind", "t_direction", "t_n", "t_codes").withColumn("_v", F.explode(names("t_street")))
     t = t.withColumn("_block", F.explode(F.concat(F.array(F.xxhash64(F.lit("t"), "t_town", "_v")), F.transform("t_codes", lambda c: F.xxhash64(F.lit("p"), c, F.col("_v")))))).drop("_v")
     same_code = F.coalesce(F.array_contains("t_codes", F.col("postcode")), F.lit(False))
     town = (F.col("t_town") == F.col("town")) | (~F.col("sure") & same_code)
     code = same_code | F.col("postcode").isNull() | (F.size("t_codes") == 0)
     kind = F.col("kind").isNull() | (F.col("kind") == F.col("t_kind"))
-    met = f.join(t, "_block").where(town & code & kind & F.col("direction").eqNullSafe(F.col("t_direction")))
+    letters = lambda c: F.length(F.replace(F.col(c), F.lit(" "), F.lit("")))
+    near = F.abs(letters("street") - letters("t_street")) <= most_edits  # no assignment is cheaper than the letters left over
+    met = f.join(t, "_block").where(near & town & code & kind & F.col("direction").eqNullSafe(F.col("t_direction")))
     met = met.withColumn("same_code", same_code).select("form", "own", "kind", "town", "street", "n", "s_n", "t_own", "t_town", "t_street", "t_n", "same_code")
     met = met.repartition("form").dropDuplicates(["form", "t_own"])
     fields = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in met.schema) + ", cost int"
