@@ -12,7 +12,7 @@ import orebody.llm.cooccur as cooccur
 from orebody.llm.address_parse import parse_address, postcode_of, town_of
 from orebody.llm.addresses import assignment_cost, edits, location_pairs, same_locations
 from orebody.llm.chosen_path import pair_recall, similar_classes, similar_pairs, sketch_cutoff, tree_recall, trees_for
-from orebody.llm.cooccur import cooccurring_pairs, sparse_gram
+from orebody.llm.cooccur import BlockRow, cooccurring_pairs, products
 
 
 def jaccard_pairs(sets, threshold, least):
@@ -97,9 +97,10 @@ def lift_pairs(baskets, least, ratio):
     return {(a, b, c, one[a], one[b], n) for (a, b), c in two.items() if c >= least and c * n >= ratio * one[a] * one[b]}
 
 
-@pytest.mark.parametrize(("block", "few"), [(2048, 400_000), (8, 400_000), (8, 0)])
-def test_cooccurrence(rows, monkeypatch, block, few):
-    monkeypatch.setattr(cooccur, "BROADCAST_ITEMS", few)
+@pytest.mark.parametrize(("block", "blocks", "few", "most", "cells"), [(2048, None, 1 << 20, 1 << 22, 1 << 20), (8, 3, 1 << 20, 1 << 22, 1 << 20), (8, 5, 0, 50, 1 << 20), (2048, 6, 1 << 20, 1 << 22, 40)])
+def test_cooccurrence(rows, monkeypatch, block, blocks, few, most, cells):
+    monkeypatch.setattr(cooccur, "BROADCAST_BYTES", few)
+    monkeypatch.setattr(cooccur, "ROW_CELLS", cells)
     rng = random.Random(6)
     baskets = {}
     for u in range(400):
@@ -110,18 +111,28 @@ def test_cooccurrence(rows, monkeypatch, block, few):
     data = [(u, i, 1) for u, b in baskets.items() for i in b]
     df = rows([*data, *data[:80], (None, "x", 1), ("u1", None, 1)], "user_id string, business_id string, n int")
     for least, ratio in ((8, 5.0), (3, 1.5)):
-        got = cooccurring_pairs(df, basket="user_id", item="business_id", min_both=least, min_ratio=ratio, block=block)
+        got = cooccurring_pairs(df, basket="user_id", item="business_id", min_both=least, min_ratio=ratio, block=block, blocks=blocks, most=most)
         assert {(r.item_1, r.item_2, r.n_both, r.n_1, r.n_2, r.n_baskets) for r in got.collect()} == lift_pairs(baskets, least, ratio)
     assert cooccurring_pairs(df.where("false"), basket="user_id", item="business_id").count() == 0
 
 
-def test_sparse_gram():
+@pytest.mark.parametrize(("blocks", "room", "most"), [(1, 1 << 22, 1 << 22), (4, 64, 1 << 22), (7, 64, 30)])
+def test_blocked_gram(blocks, room, most):
+    """Sums of block products are A'A, each pair once, at any size of blocks and pieces."""
     rng = np.random.default_rng(2)
     a = (rng.random((50, 20)) < 0.2).astype(int)
-    r, c = np.nonzero(a)
     total = np.zeros((20, 20), int)
-    for i, j, n in sparse_gram(r, c, room=64):
-        total[i, j] += n
+    for p in range(blocks):
+        takes = [q for q in range(20) if p == q % blocks or (p + q % blocks) % 2 == (q % blocks < p)]
+        sums, found = BlockRow(most), []
+        own, other = ([[i for i in np.flatnonzero(r) if i in some] for r in a] for some in (range(p, 20, blocks), takes))
+        flat = [np.array([i for r in x for i in r], np.int64) for x in (own, other)]
+        for x, y in products(flat[0], np.array([len(r) for r in own]), flat[1], np.array([len(r) for r in other]), room):
+            i, j = flat[0][x], flat[1][y]
+            keep = (i % blocks != j % blocks) | (i < j)
+            found += sums.add((np.minimum(i, j)[keep] << 32) | np.maximum(i, j)[keep])
+        for codes, counts in [*found, *sums.rest(1)]:
+            np.add.at(total, (codes >> 32, codes & 0xFFFFFFFF), counts)
     assert (total == np.triu(a.T @ a, 1)).all()
 
 
