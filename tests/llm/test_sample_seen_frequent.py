@@ -1,5 +1,6 @@
 """Sample, membership and frequent items."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from orebody.llm.iceberg import frequent_items
 from orebody.llm.reservoir import GeometricFile, fixed_size_sample, population_draw
-from orebody.llm.seen import EliasFano, first_arrivals, seen_before, wrong_answer_rate
+from orebody.llm.seen import EliasFano, _pieces, digested, first_arrivals, seen_before, wrong_answer_rate
 from tests.conftest import tuples
 
 
@@ -64,10 +65,12 @@ def test_elias_fano(values, probes):
     sorted_values = np.array(sorted(values), np.uint64)
     code = EliasFano(sorted_values, 40)
     assert code.values().tolist() == sorted(values)
-    value, found = code.successor(np.array(probes, np.uint64))
-    for p, v, f in zip(probes, value.tolist(), found.tolist()):
-        above = [x for x in values if x >= p]
-        assert f == bool(above) and (not f or v == min(above))
+    ways = [code.successor] + [code._sampled_successor, code._decoded_successor] * bool(values)
+    for way in ways:
+        value, found = way(np.array(probes, np.uint64))
+        for p, v, f in zip(probes, value.tolist(), found.tolist()):
+            above = [x for x in values if x >= p]
+            assert f == bool(above) and (not f or v == min(above))
     fresh = np.array(sorted(set(probes) - values), np.uint64)
     assert code.merged(fresh).values().tolist() == sorted(values | set(probes))
 
@@ -77,6 +80,21 @@ def test_elias_fano_is_small():
     code = EliasFano(values, 56)
     assert code.size_in_bytes * 8 / len(values) < 2.1 + 56 - np.log2(len(values)) + 1
     assert code.contains(values).all() and not code.contains(values + np.uint64(1)).all()
+    few = np.concatenate([values[::700], values[::700] + np.uint64(3), [np.uint64(0), np.uint64((1 << 56) - 1)]])  # by sampled places
+    assert (code.contains(few) == np.isin(few, values)).all()
+
+
+def test_pieces_grow_with_the_stream(spark):
+    """Ten times as long a stream has a fixed number of pieces more, whatever the order numbers are."""
+    many = []
+    for n in (10_000, 100_000):
+        df = spark.range(n).select((F.col("id") * 1000 - 7).alias("seq"))
+        number, _ = _pieces(df, "seq", 500, 1.25)
+        got = df.select("seq", number.alias("p")).groupBy("p").agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.count("*").alias("n")).orderBy("p").collect()
+        assert all(x.b < y.a for x, y in zip(got, got[1:])) and abs(got[0].n - 500) <= 2
+        assert all(y.n <= 1.26 * x.n + 2 for x, y in zip(got, got[1:]))
+        many.append(len(got))
+    assert many[1] - many[0] < 12
 
 
 def test_seen_before_equals_a_set(rows):
@@ -105,6 +123,9 @@ def test_wrong_answer_rate(spark, rows):
     assert (exact.records, exact.seen, exact.wrong) == (3000, 0, 0)
     coarse = wrong_answer_rate(df, old, key="city", order="seq", bits=14).first()
     assert coarse.wrong > 0 and coarse.wrong_rate <= coarse.expected_rate_of_new_keys
+    digest = wrong_answer_rate(df, old, key="city", order="seq", bits=12, hashed=digested).first()
+    keys = [hashlib.md5(f"c{k}".encode()).hexdigest()[:3] for k in range(3000)]
+    assert digest.wrong == 3000 - len(set(keys)) > 0
 
 
 def test_frequent_items(rows):
