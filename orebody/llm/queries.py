@@ -140,6 +140,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), doc="doc_id", text="text", item="item_id", passage="passage")
 
 
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where one word in twelve may be another, missing or added."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), doc="doc_id", text="text", item="item_id", passage="passage", edits=1)
+
+
 P9_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS l FROM documents WHERE text IS NOT NULL),
      p AS (SELECT item_id, l, least(12, len(l)) AS n FROM (SELECT item_id, regexp_extract_all(passage, '[\p{L}\p{N}]+') AS l FROM eval_items) WHERE len(l) > 0),
@@ -148,7 +153,7 @@ WITH d AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}]+') AS l FROM do
 SELECT DISTINCT doc_id, item_id FROM dw JOIN pw USING (n, g)
 """
 P8_SQL = "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents"
-QUERIES |= {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found}
+QUERIES |= {"p8_ids": p8_ids, "p8_round_trip": p8_round_trip, "p9_found": p9_found, "p9_near": p9_near}
 SQL |= {"p8_round_trip": P8_SQL, "p9_found": P9_SQL}
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orebody.llm.encode import TreeEncoder, decode_corpus, encode_corpus
 from orebody.llm.langid import classified, fit_languages, identify_languages, languages_held, repaired, sentences, train
-from orebody.llm.leaks import find_leaks, words_of
+from orebody.llm.leaks import LeakIndex, find_leaks, words_of
 from tests.conftest import tuples
 
 SMALL, BIG = TreeEncoder(leaf=3), TreeEncoder(leaf=1 << 30)
@@ -86,21 +86,39 @@ def test_leaks_equal_brute_force(rows):
     assert find_leaks(df.where("false"), ev, **form).count() == find_leaks(df, ev.where("false"), **form).count() == 0
 
 
-def test_near_leaks_recall(rows):
+def changed(rng, words, kind):
+    k = rng.randrange(len(words))
+    return {"replace": words[:k] + ["zzz"] + words[k + 1 :], "drop": words[:k] + words[k + 1 :], "insert": words[:k] + ["zzz"] + words[k:]}[kind]
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+@pytest.mark.parametrize("kind", ["replace", "drop", "insert"])
+@pytest.mark.parametrize("size", [12, 14])
+def test_recall_of_near_leaks(edits, kind, size):
+    """Each kind and number of edits, at any place; the words around could belong to a passage too."""
     rng = random.Random(17)
     words = [f"w{i}" for i in range(400)]
-    items = [(i, " ".join(rng.sample(words, 14))) for i in range(60)]
-    docs = []
+    items = [(i, " ".join(rng.sample(words, size))) for i in range(200)]
+    index = LeakIndex(items, 12, edits, 16, 3, 5)
+    got, wrong = 0, 0
     for i, passage in items:
         p = passage.split()
-        k = rng.randrange(3, 9)
-        changed = rng.choice([p[:k] + ["zzz"] + p[k + 1 :], p[:k] + p[k + 1 :], p[:k] + ["zzz"] + p[k:]])
-        docs.append((i, "some text before " + " ".join(changed) + " and after"))
+        for _ in range(edits):
+            p = changed(rng, p, kind)
+        text = [rng.choice(words) for _ in range(5)] + p + ["zzz"] * 3
+        found = {int(x) for _, who in index.matches(np.array([index.vocabulary.get(w, -1) for w in [*text, "zzz"]] + [-2], np.int64)) for x in who}
+        got += i in found
+        wrong += len(found - {i})
+    assert got >= 0.9 * len(items) and not wrong
+
+
+def test_near_leaks_in_tables(rows):
+    passage = "the quick brown fox jumps over a very lazy dog near here today"
+    texts = [(1, passage.upper()), (2, passage.replace("fox", "wolf")), (3, passage.replace("fox ", "")), (4, "over a very lazy"), (5, None), (6, passage.replace("fox", "wolf").replace("lazy", "old").replace("today", "now")), (7, "so " + passage.replace("brown", "brown red"))]
+    df, ev = rows(texts, "doc_id bigint, text string"), rows([(9, passage), (8, "one two three"), (7, None)], "item_id bigint, passage string")
     form = {"doc": "doc_id", "text": "text", "item": "item_id", "passage": "passage"}
-    df, ev = rows(docs, "doc_id bigint, text string"), rows(items, "item_id bigint, passage string")
-    got = {tuple(r) for r in find_leaks(df, ev, edits=2, **form).collect()}
-    assert all(a == b for a, b in got)
-    assert len(got) >= 0.9 * len(items)
+    assert {tuple(r) for r in find_leaks(df, ev, edits=1, **form).collect()} == {(1, 9), (2, 9), (3, 9), (7, 9)}
+    assert find_leaks(df.where("false"), ev, edits=1, **form).count() == find_leaks(df, ev.where("false"), edits=2, **form).count() == 0
 
 
 TEMPLATES = {
