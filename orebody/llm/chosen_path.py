@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orebody.functions.skew import bucket_of, hot_buckets, salt_of
+from orebody.functions.skew import all_salts, bucket_of, hot_buckets, salt_of
 from orebody.session import cut
 
 POSITIONS = 64
@@ -186,7 +186,10 @@ def similar_classes(rows: DataFrame, *, record: str, token: str, threshold: floa
     wanted = found.select(F.col("s_1").alias("_s")).unionByName(found.select(F.col("s_2").alias("_s"))).distinct()
     cells = rows.where(F.col(record).isNotNull() & F.col(token).isNotNull()).select(F.col(record).alias("_s"), F.xxhash64(F.col(token).cast("string")).alias("_t"))
     cells = cut(cells.join(wanted, "_s", "left_semi").distinct())
-    both = found.join(cells.toDF("s_1", "_t"), "s_1").join(cells.toDF("s_2", "_t"), ["s_2", "_t"]).groupBy("s_1", "n_1", "s_2", "n_2").agg(F.count("*").alias("n_both"))
+    hot = hot_buckets(cells, "_s")  # a large record's tokens are looked up by several tasks
+    mine = cells.select(F.col("_s").alias("s_1"), "_t", salt_of(hot, ["_s"], ["_t"]).alias("_salt"))
+    found = found.withColumn("_salt", F.explode(all_salts(hot, ["s_1"])))
+    both = found.join(mine, ["s_1", "_salt"]).join(cells.toDF("s_2", "_t"), ["s_2", "_t"]).groupBy("s_1", "n_1", "s_2", "n_2").agg(F.count("*").alias("n_both"))
     both = both.where(F.col("n_both") >= F.lit(threshold) * (F.col("n_1") + F.col("n_2") - F.col("n_both")))
     classes = both.select(F.col("s_1").alias("class_1"), F.col("s_2").alias("class_2"), "n_1", "n_2", "n_both", (F.col("n_both") / (F.col("n_1") + F.col("n_2") - F.col("n_both"))).alias("jaccard"))
     members = sets.select("_s", "_n", "_x", "_y").join(reps.select("_n", "_x", "_y", F.col("_s").alias("class_id"), F.col("_members").alias("n_members")), ["_n", "_x", "_y"])

@@ -113,6 +113,14 @@ P4_SQL = f"""{_SETS},
 SELECT p.b AS business_id_1, q.b AS business_id_2 FROM y p JOIN y q ON p.u = q.u AND p.b < q.b AND 2 * least(p.n, q.n) >= greatest(p.n, q.n)
 GROUP BY p.b, q.b, p.n, q.n HAVING 2 * count(*) >= p.n + q.n - count(*)
 """
+P4_CLASSES_SQL = f"""{_SETS},
+     y AS (SELECT x.*, n FROM x JOIN n USING (b) WHERE n >= 5),
+     c AS (SELECT b, min(b) OVER (PARTITION BY k) AS class_id FROM (SELECT b, string_agg(u, ',' ORDER BY u) AS k FROM y GROUP BY b)),
+     z AS (SELECT * FROM y WHERE b IN (SELECT class_id FROM c)),
+     l AS (SELECT p.b AS l, q.b AS r FROM z p JOIN z q ON p.u = q.u AND p.b < q.b GROUP BY p.b, q.b, p.n, q.n HAVING 2 * count(*) >= p.n + q.n - count(*)),
+     e AS (SELECT class_id, count(*) AS n_links FROM (SELECT l AS class_id FROM l UNION ALL SELECT r FROM l) GROUP BY 1)
+SELECT b AS business_id, class_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN e USING (class_id)
+"""
 P5_SQL = f"""{_SETS},
      t AS (SELECT count(DISTINCT u) AS n FROM x),
      y AS (SELECT x.*, n.n FROM x JOIN n USING (b), t WHERE n.n >= 8 AND n.n * 5 <= t.n)
@@ -121,7 +129,7 @@ FROM y p JOIN y q ON p.u = q.u AND p.b < q.b, t
 GROUP BY p.b, q.b, p.n, q.n, t.n HAVING count(*) >= 8 AND count(*) * t.n >= 5 * p.n * q.n
 """
 QUERIES |= {"p4_found": p4_found, "p4_classes": p4_classes, "p5_found": p5_found, "p5_lift": p5_lift}
-SQL |= {"p4_found": P4_SQL, "p5_found": f"SELECT business_id_1, business_id_2 FROM ({P5_SQL})", "p5_lift": P5_SQL}
+SQL |= {"p4_found": P4_SQL, "p4_classes": P4_CLASSES_SQL, "p5_found": f"SELECT business_id_1, business_id_2 FROM ({P5_SQL})", "p5_lift": P5_SQL}
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from orebody.session import shared_dir
+from orebody.session import cut, shared_dir
 
 SHARD, POPULATION = "_shard", "_population"
 
@@ -209,8 +209,9 @@ def fixed_size_sample(df: DataFrame, size: int, *, seed: int = 42, fan_in: int =
         n = out.num_rows
         return out.set_column(out.num_columns - 2, SHARD, pa.array([key[0].as_py()] * n, pa.int64())).set_column(out.num_columns - 1, POPULATION, pa.array([sum(sizes)] * n, pa.int64()))
 
-    shards, level = flat.rdd.getNumPartitions(), 1
-    sample = flat.mapInArrow(shard, kept)
+    sample = cut(flat.mapInArrow(shard, kept))
+    # as many rounds as the shards that did come out need, however the input was partitioned
+    shards, level = (sample.agg(F.max(SHARD)).first()[0] or 0) + 1, 1
     while level == 1 or shards > 1:
 
         def merging(key: tuple, rows: pa.Table) -> pa.Table:
