@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def one_row_per_key(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Each non-null key once, with the largest non-null value of each column: one combined aggregation."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(c).alias(c) for c in columns])
+def newest_per_key(df: DataFrame, key: str, newest: str, columns: list[str]) -> DataFrame:
+    """Each non-null key once, with `columns` of its row of the largest `newest`: one combined aggregation.
+
+    Rows that tie are told apart by the columns in turn, the larger value first, nulls last, so the
+    result is always a row as delivered and always the same one.
+    """
+    best = F.max(F.struct(F.col(newest).alias("_newest"), *columns)).alias("_row")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(best).select(key, *[F.col(f"_row.{c}").alias(c) for c in columns])
 
 
 def column_totals(df: DataFrame, value: str) -> DataFrame:

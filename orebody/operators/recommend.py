@@ -152,17 +152,17 @@ def als(ratings: DataFrame, keys: DataFrame, *, rank: int = 2, rounds: int = 5,
     return with_default(got, keys)
 
 
-def regression(train: DataFrame, test: DataFrame, features: list[str], label: str, *, degree: int = 3) -> DataFrame:
+def regression(train: DataFrame, test: DataFrame, features: list[str], label: str, *, degree: int = 3, penalty: float = 0.0) -> DataFrame:
     """`test` with a clamped `prediction` of a linear model over the polynomial expansion of scaled features.
 
-    Scaler and model see `train` only; null features count as 0.
+    Scaler and model see `train` only; null features count as 0. `penalty` is the weight of an L2 term, none by default.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     fill = lambda df: df.fillna(0.0, subset=features)
-    steps = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), PolynomialExpansion(degree=degree, inputCol="_scaled", outputCol="_poly"), LinearRegression(featuresCol="_poly", labelCol=label, predictionCol="_p", regParam=0.01)]
+    steps = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_scaled", withMean=True), PolynomialExpansion(degree=degree, inputCol="_scaled", outputCol="_poly"), LinearRegression(featuresCol="_poly", labelCol=label, predictionCol="_p", regParam=penalty)]
     model = Pipeline(stages=steps).fit(fill(train.where(F.col(label).isNotNull())))
     return model.transform(fill(test)).withColumn("prediction", clamp(F.col("_p"))).drop("_raw", "_scaled", "_poly", "_p")
 

@@ -15,15 +15,15 @@ FEATURES = ["average_stars", "u_review_count", "useful", "funny", "cool", "fans"
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.one_row_per_key(table(spark, sf_dir, "users"), "user_id", ["name", "review_count", "yelping_since", "useful", "funny", "cool", "fans", "average_stars"])
+    return explore.newest_per_key(table(spark, sf_dir, "users"), "user_id", "review_count", ["name", "review_count", "yelping_since", "useful", "funny", "cool", "fans", "average_stars"])
 
 
 def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.one_row_per_key(table(spark, sf_dir, "business"), "business_id", ["state", "stars", "review_count", "latitude", "longitude"])
+    return explore.newest_per_key(table(spark, sf_dir, "business"), "business_id", "loaded_at", ["state", "stars", "review_count", "latitude", "longitude"])
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.one_row_per_key(table(spark, sf_dir, "review"), "review_id", ["user_id", "business_id", "stars"])
+    return explore.newest_per_key(table(spark, sf_dir, "review"), "review_id", "loaded_at", ["user_id", "business_id", "stars"])
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,7 @@ def user_means(spark, d):
 
 
 def pearson_items(spark, d):
-    w = recommend.pearson_pairs(ratings(spark, d), of="item", over="user", min_common=3).where(F.col("a") < F.col("b"))
+    w = recommend.pearson_pairs(ratings(spark, d), of="item", over="user").where(F.col("a") < F.col("b"))
     return w.select(F.col("a").alias("business_id_1"), F.col("b").alias("business_id_2"), "n", "w")
 
 

@@ -5,8 +5,15 @@ from __future__ import annotations
 from orebody.functions.hashing import HASH_TABLE
 from orebody.operators.recommend import LEXICON
 
-U = "u AS (SELECT user_id, max(name) AS name, max(review_count) AS review_count, max(yelping_since) AS yelping_since FROM users WHERE user_id IS NOT NULL GROUP BY user_id)"
-V = "v AS (SELECT review_id, max(user_id) AS u, max(business_id) AS i, max(stars) AS stars FROM review WHERE review_id IS NOT NULL GROUP BY review_id)"
+
+
+def _newest(table: str, key: str, newest: str, columns: str) -> str:
+    order = ", ".join(f"{c} DESC NULLS LAST" for c in [newest, *columns.split(", ")])
+    return f"(SELECT {key}, {columns} FROM {table} WHERE {key} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {order}) = 1)"
+
+
+U = f"u AS {_newest('users', 'user_id', 'review_count', 'name, review_count, yelping_since, useful, funny, cool, fans, average_stars')}"
+V = f"v AS (SELECT review_id, user_id AS u, business_id AS i, stars FROM {_newest('review', 'review_id', 'loaded_at', 'user_id, business_id, stars')})"
 R = "r AS (SELECT user_id AS u, business_id AS i, avg(stars) AS r FROM yelp_train WHERE user_id IS NOT NULL AND business_id IS NOT NULL AND stars IS NOT NULL GROUP BY 1, 2)"
 T = f"{V}, t AS (SELECT u, i, avg(stars) AS stars FROM v WHERE u IS NOT NULL AND i IS NOT NULL AND stars IS NOT NULL GROUP BY 1, 2)"
 X = "x AS (SELECT DISTINCT business_id AS s, user_id AS t FROM yelp_train WHERE business_id IS NOT NULL AND user_id IS NOT NULL), n AS (SELECT s, count(*) AS n FROM x GROUP BY s)"
@@ -75,7 +82,7 @@ SQL = {
     "joined_in_year": f"WITH {U} SELECT count(*) FILTER (contains(yelping_since, '2015')) AS n_users FROM u",
     "top_names": f"WITH {U} SELECT name, count(*) AS n FROM u WHERE name IS NOT NULL GROUP BY name ORDER BY n DESC, name LIMIT 10",
     "top_reviewers": f"WITH {U} SELECT user_id, review_count FROM u WHERE review_count IS NOT NULL ORDER BY review_count DESC, user_id LIMIT 10",
-    "state_avg": f"WITH {V}, b AS (SELECT business_id AS i, max(state) AS state FROM business GROUP BY 1) SELECT state, round(avg(stars), 6) AS stars FROM v JOIN b USING (i) WHERE state IS NOT NULL AND stars IS NOT NULL GROUP BY state",
+    "state_avg": f"WITH {V}, b AS (SELECT business_id AS i, state FROM {_newest('business', 'business_id', 'loaded_at', 'state, stars, review_count, latitude, longitude')}) SELECT state, round(avg(stars), 6) AS stars FROM v JOIN b USING (i) WHERE state IS NOT NULL AND stars IS NOT NULL GROUP BY state",
     "rating_report": f"WITH {BIAS}, e AS (SELECT abs(least(5.0, greatest(1.0, raw)) - stars) AS e FROM p) SELECT " + ", ".join(f"count(*) FILTER (e >= {k} AND e < {k + 1}) AS errors_{k}_{k + 1}" for k in range(4)) + ", count(*) FILTER (e >= 4) AS errors_4_up, round(sqrt(avg(e * e)), 6) AS rmse FROM e",
     "pair_precision_recall": f"WITH {LSH_SIM}, ex AS (SELECT a.s AS id_1, b.s AS id_2 FROM x a JOIN n na ON na.s = a.s JOIN x b ON a.t = b.t AND a.s < b.s JOIN n nb ON nb.s = b.s GROUP BY 1, 2, na.n, nb.n HAVING 2 * count(*) >= na.n + nb.n - count(*)), k AS (SELECT (SELECT count(*) FROM sim) AS f, (SELECT count(*) FROM ex) AS t, (SELECT count(*) FROM sim JOIN ex USING (id_1, id_2)) AS h) SELECT f AS n_found, t AS n_true, round(h / f, 6) AS precision, round(h / t, 6) AS recall FROM k",
     "jaccard_exact": f"WITH {_similar(JACCARD, 0.5)} {PAIRS}",
@@ -88,7 +95,7 @@ SQL = {
     "itemsets_daily": _itemsets("SELECT DISTINCT b, i FROM (SELECT strftime(ts, '%Y-%m-%d') || '-' || user_id AS b, event_type AS i, count(*) OVER (PARTITION BY strftime(ts, '%Y-%m-%d') || '-' || user_id) AS c FROM events) WHERE c > 2", 20, 7),
     "itemset_report": f"WITH found AS ({CASE1}) SELECT k, string_agg('(''' || replace(itemset, ',', ''', ''') || ''')', ',' ORDER BY '(''' || replace(itemset, ',', ''', ''') || ''')') AS line FROM found GROUP BY k",
     "user_means": f"WITH {R} SELECT u AS user_id, round(avg(r), 6) AS mean, count(*) AS n FROM r GROUP BY u",
-    "pearson_items": f"WITH {R}, q AS ({_sums('i', 'u', 'AND a.i < b.i')}) SELECT a AS business_id_1, b AS business_id_2, n, {_pearson()} AS w FROM q WHERE n >= 3",
+    "pearson_items": f"WITH {R}, q AS ({_sums('i', 'u', 'AND a.i < b.i')}) SELECT a AS business_id_1, b AS business_id_2, n, {_pearson()} AS w FROM q WHERE n >= 2",
     "user_cf": f"""WITH {R}, {T}, um AS (SELECT u, avg(r) AS m FROM r GROUP BY u), q AS ({_sums('u', 'i', 'AND a.u IN (SELECT u FROM t)')}), w AS (SELECT a, b, {_pearson()} AS w FROM q WHERE n >= 2),
         s AS (SELECT t.u, t.i, sum((r.r - um.m) * w) AS top, sum(abs(w)) AS below FROM t JOIN w ON w.a = t.u AND w <> 0 JOIN r ON r.u = w.b AND r.i = t.i JOIN um ON um.u = r.u GROUP BY 1, 2)
         SELECT t.u AS user_id, t.i AS business_id, round(least(5.0, greatest(1.0, coalesce(um.m + coalesce(CASE WHEN below <> 0 THEN top / below END, 0.0), 3.0))), 6) AS prediction FROM t LEFT JOIN um ON um.u = t.u LEFT JOIN s ON s.u = t.u AND s.i = t.i""",

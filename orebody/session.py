@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: `spark.checkpoint.dir` of the session.
 
-    Only where the cluster names none (tests, local mode) a temporary folder is made and removed
-    at exit; `local[*]` has no other machine that could miss it.
+    Only where a local session names none (tests) a temporary folder is made and removed at exit:
+    `local[*]` has no other machine that could miss it. A cluster that names none is an error.
     """
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     made = spark.sparkContext._jsc.sc().getCheckpointDir()
     if made.isDefined():
         return made.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="orebody-")
     atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(own)
