@@ -34,6 +34,20 @@ def salt_of(hot: list[int], keys: list[str | Column], by: list[str | Column], sa
     return F.when(bucket_of(*keys).isin(hot), F.pmod(F.xxhash64(*by, F.lit(7)), F.lit(salts)).cast("int")).otherwise(F.lit(0))
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], *, least: int = 2_000, salts: int = 64) -> DataFrame:
+    """Inner join on `keys` in which a hot key of `left` is worked off by many tasks.
+
+    Its rows on the left are dealt out by the columns `by`, those on the right are repeated for each
+    deal; other keys are joined as they are. `left` is counted once by bucket, so it should be cheap
+    to read. For joins of a table with itself, where a key costs its square.
+    """
+    hot = hot_buckets(left, *keys, least=least)
+    if not hot:
+        return left.join(right, keys)
+    right = right.withColumn("_deal", F.explode(all_salts(hot, keys, salts)))
+    return left.withColumn("_deal", salt_of(hot, keys, by, salts)).join(right, [*keys, "_deal"]).drop("_deal")
+
+
 def all_salts(hot: list[int], keys: list[str | Column], salts: int = 64) -> Column:
     """Array of every salt that `salt_of` can give for these keys: the other side of a salted join."""
     if not hot:

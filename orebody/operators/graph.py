@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orebody.functions.skew import split_join
 from orebody.session import cut, shared_dir
 
 
@@ -36,9 +37,9 @@ def shared_group_edges(df: DataFrame, *, vertex: str, group: str, min_shared: in
     rows = df.where(F.col(vertex).isNotNull() & F.col(group).isNotNull()).select(F.col(vertex).alias("v"), F.col(group).alias("g")).distinct()
     groups = F.broadcast(rows.agg(F.count_distinct("g").alias("m")))
     sizes = rows.groupBy("v").agg(F.count("*").alias("n")).join(groups, F.lit(True)).where((F.col("n") >= min_shared) & (F.col("n") * F.lit(float(min_ratio)) <= F.col("m")))
-    kept = rows.join(sizes, "v")
+    kept = cut(rows.join(sizes, "v"))
     a, b = kept.toDF("src", "g", "n_1", "m"), kept.select(F.col("v").alias("dst"), "g", F.col("n").alias("n_2"))
-    met = a.join(b, "g").where(F.col("src") < F.col("dst")).groupBy("src", "dst", "n_1", "n_2", "m").agg(F.count("*").alias("n"))
+    met = split_join(a, b, ["g"], ["src"]).where(F.col("src") < F.col("dst")).groupBy("src", "dst", "n_1", "n_2", "m").agg(F.count("*").alias("n"))
     return met.where((F.col("n") >= min_shared) & (F.col("n").cast("double") * F.col("m") >= F.col("n_1").cast("double") * F.col("n_2") * float(min_ratio))).select("src", "dst")
 
 

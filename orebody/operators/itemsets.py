@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orebody.functions.skew import split_join
 from orebody.session import cut
 
 
@@ -38,7 +39,7 @@ def frequent_itemsets(df: DataFrame, min_count: int, *, basket: str = "basket",
     k = 1
     while max_size is None or k < max_size:
         k += 1
-        grown = held.join(rows, "b").where(F.col("i") > F.col("last")).select("b", F.concat("s", F.array("i")).alias("s"), F.col("i").alias("last"))
+        grown = split_join(held, rows, ["b"], ["s"]).where(F.col("i") > F.col("last")).select("b", F.concat("s", F.array("i")).alias("s"), F.col("i").alias("last"))
         level = cut(grown.groupBy("s").agg(F.count("*").alias("support")).where(F.col("support") >= min_count))
         if level.isEmpty():
             break
@@ -47,6 +48,34 @@ def frequent_itemsets(df: DataFrame, min_count: int, *, basket: str = "basket",
     return out
 
 
+def son_candidates(df: DataFrame, min_count: int, *, chunks: int = 4, basket: str = "basket", item: str = "item") -> DataFrame:
+    """(k, itemset) of sets that are frequent, in proportion, in at least one of `chunks` parts of the baskets.
+
+    What the first pass of the two-pass method would count; every frequent set is among them. Baskets
+    fall into parts by the first two signs of the MD5 of their name.
+    """
+    part = F.conv(F.substring(F.md5(F.col("b").cast("string")), 1, 2), 16, 10).cast("int") % chunks
+    least = -(-min_count // chunks)
+    rows = df.where(F.col(basket).isNotNull() & F.col(item).isNotNull()).select(F.col(basket).alias("b"), F.col(item).alias("i")).distinct().withColumn("c", part)
+    single = rows.groupBy("c", "i").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    rows = cut(rows.join(single.select("c", "i"), ["c", "i"], "left_semi"))
+    held = rows.select("c", "b", F.array("i").alias("s"), F.col("i").alias("last"))
+    out, k = single.select(F.lit(1).alias("k"), F.array("i").alias("itemset")), 1
+    while True:
+        k += 1
+        grown = split_join(held, rows, ["c", "b"], ["s"]).where(F.col("i") > F.col("last")).select("c", "b", F.concat("s", F.array("i")).alias("s"), F.col("i").alias("last"))
+        level = cut(grown.groupBy("c", "s").agg(F.count("*").alias("n")).where(F.col("n") >= least))
+        if level.isEmpty():
+            return out.distinct()
+        out = out.unionByName(level.select(F.lit(k).alias("k"), F.col("s").alias("itemset")))
+        held = cut(grown.join(level.select("c", "s"), ["c", "s"], "left_semi"))
+
+
+def phase_report(candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """(phase, k, line): candidates and frequent itemsets, each by size."""
+    return itemset_report(candidates).withColumn("phase", F.lit("Candidates:")).unionByName(itemset_report(found).withColumn("phase", F.lit("Frequent Itemsets:"))).select("phase", "k", "line")
+
+
 def itemset_report(found: DataFrame) -> DataFrame:
     """(k, line): the sets of each size in order, written ('a', 'b')."""
     text = F.concat(F.lit("('"), F.array_join(F.transform("itemset", lambda x: x.cast("string")), "', '"), F.lit("')"))

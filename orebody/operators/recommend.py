@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orebody.functions.skew import split_join
 from orebody.operators.explore import dense_index
 from orebody.operators.metrics import clamp
 from orebody.session import cut
@@ -38,7 +39,8 @@ def pearson_pairs(ratings: DataFrame, *, of: str, over: str, left: DataFrame | N
 
     `left` may restrict a. The one value of `over` with the most ratings is not expanded into pairs:
     a pair that shares only it has correlation 0 anyway, and the others get its part by lookup. With
-    min_common of 2 nothing is lost, and the largest group costs its own size, not its square.
+    min_common of 2 nothing is lost, and the largest group costs its own size, not its square; further
+    large ones are worked off by many tasks. `ratings` is read several times: cut it before.
     """
     if min_common < 2:
         raise ValueError("min_common must be at least 2")
@@ -46,7 +48,7 @@ def pearson_pairs(ratings: DataFrame, *, of: str, over: str, left: DataFrame | N
     most = rows.groupBy("k").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "k").limit(1).select("k")
     hub, rest = rows.join(F.broadcast(most), "k", "left_semi"), rows.join(F.broadcast(most), "k", "left_anti")
     mine = rest.join(left.select(F.col(of).alias("a")).distinct(), "a", "left_semi") if left is not None else rest
-    pairs = mine.join(rest.select(F.col("a").alias("b"), "k", F.col("x").alias("y")), "k").groupBy("a", "b").agg(
+    pairs = split_join(mine, rest.select(F.col("a").alias("b"), "k", F.col("x").alias("y")), ["k"], ["a"]).groupBy("a", "b").agg(
         F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
     pairs = pairs.join(hub.select("a", F.col("x").alias("hx")), "a", "left").join(hub.select(F.col("a").alias("b"), F.col("x").alias("hy")), "b", "left")
     has = F.col("hx").isNotNull() & F.col("hy").isNotNull()

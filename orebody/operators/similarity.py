@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orebody.functions.hashing import HASH_TABLE, linear_hash
+from orebody.functions.skew import split_join
 from orebody.operators.explore import dense_index
 from orebody.session import cut
 
@@ -18,7 +19,7 @@ def set_rows(df: DataFrame, record: str, token: str) -> DataFrame:
 
 def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """Number of shared tokens of each (s_1, n_1, s_2, n_2)."""
-    return pairs.join(rows.toDF("s_1", "t"), "s_1").join(rows.toDF("s_2", "t"), ["s_2", "t"]).groupBy("s_1", "n_1", "s_2", "n_2").agg(F.count("*").alias("both"))
+    return split_join(rows.toDF("s_1", "t"), pairs, ["s_1"], ["t"]).join(rows.toDF("s_2", "t"), ["s_2", "t"]).groupBy("s_1", "n_1", "s_2", "n_2").agg(F.count("*").alias("both"))
 
 
 def similar_pairs(df: DataFrame, *, record: str, token: str, threshold: float = 0.5, measure: str = "jaccard", min_size: int = 1) -> DataFrame:
@@ -37,8 +38,8 @@ def similar_pairs(df: DataFrame, *, record: str, token: str, threshold: float =
     often = rows.groupBy("t").agg(F.count("*").alias("f"))
     place = F.row_number().over(Window.partitionBy("s").orderBy("f", "t"))
     head = rows.join(often, "t").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1).select("s", "n", "t")
-    a, b = head.toDF("s_1", "n_1", "t"), head.toDF("s_2", "n_2", "t")
-    met = a.join(b, "t").where((F.col("s_1") < F.col("s_2")) & (F.least("n_1", "n_2") >= F.greatest("n_1", "n_2") * part - 1e-9)).select("s_1", "n_1", "s_2", "n_2").distinct()
+    head = cut(head)
+    met = split_join(head.toDF("s_1", "n_1", "t"), head.toDF("s_2", "n_2", "t"), ["t"], ["s_1"]).where((F.col("s_1") < F.col("s_2")) & (F.least("n_1", "n_2") >= F.greatest("n_1", "n_2") * part - 1e-9)).select("s_1", "n_1", "s_2", "n_2").distinct()
     both = _verified(met, rows.select("s", "t"))
     union = F.col("n_1") + F.col("n_2") - F.col("both") if measure == "jaccard" else F.sqrt((F.col("n_1") * F.col("n_2")).cast("double"))
     return both.select(F.col("s_1").alias("id_1"), F.col("s_2").alias("id_2"), (F.col("both") / union).alias("similarity")).where(F.col("similarity") >= threshold)
@@ -63,14 +64,14 @@ def _bands() -> Column:
 
 def lsh_candidates(signatures: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(id_1, n_1, id_2, n_2) of records with an equal band whose sizes allow the threshold, id_1 < id_2."""
-    rows = signatures.select("s", "n", F.inline(_bands()))
+    rows = cut(signatures.select("s", "n", F.inline(_bands())))
     a, b = rows.toDF("id_1", "n_1", "band", "key"), rows.toDF("id_2", "n_2", "band", "key")
-    return a.join(b, ["band", "key"]).where((F.col("id_1") < F.col("id_2")) & (F.least("n_1", "n_2") >= F.greatest("n_1", "n_2") * threshold)).select("id_1", "n_1", "id_2", "n_2").distinct()
+    return split_join(a, b, ["band", "key"], ["id_1"]).where((F.col("id_1") < F.col("id_2")) & (F.least("n_1", "n_2") >= F.greatest("n_1", "n_2") * threshold)).select("id_1", "n_1", "id_2", "n_2").distinct()
 
 
 def lsh_similar_pairs(df: DataFrame, *, record: str, token: str, threshold: float = 0.5) -> DataFrame:
     """(id_1, id_2, similarity): candidates of the bands, verified exactly. What comes out is right; some pairs may be missed."""
     met = lsh_candidates(minhash_signatures(df, record=record, token=token), threshold)
-    both = _verified(met.toDF("s_1", "n_1", "s_2", "n_2"), set_rows(df, record, token))
+    both = _verified(met.toDF("s_1", "n_1", "s_2", "n_2"), cut(set_rows(df, record, token)))
     sim = F.col("both") / (F.col("n_1") + F.col("n_2") - F.col("both"))
     return both.select(F.col("s_1").alias("id_1"), F.col("s_2").alias("id_2"), sim.alias("similarity")).where(F.col("similarity") >= threshold)

@@ -139,7 +139,7 @@ def user_means(spark, d):
 
 
 def pearson_items(spark, d):
-    w = recommend.pearson_pairs(ratings(spark, d), of="item", over="user").where(F.col("a") < F.col("b"))
+    w = recommend.pearson_pairs(cut(ratings(spark, d)), of="item", over="user").where(F.col("a") < F.col("b"))
     return w.select(F.col("a").alias("business_id_1"), F.col("b").alias("business_id_2"), "n", "w")
 
 

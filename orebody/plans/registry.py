@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orebody.plans import core, core_sql, spatial
+from orebody.plans import core, core_sql, files, spatial
 
-QUERIES = {**core.QUERIES, **spatial.QUERIES}
-SQL = {**core_sql.SQL, **spatial.SQL}
+QUERIES = {**core.QUERIES, **files.QUERIES, **spatial.QUERIES}
+SQL = {**core_sql.SQL, **files.SQL, **spatial.SQL}
 FLAGSHIP = core.state_avg

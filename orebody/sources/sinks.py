@@ -41,6 +41,22 @@ def write_similar_pairs(df: DataFrame, path: str) -> None:
     write_csv(df.orderBy(*df.columns[:2]), path)
 
 
+def write_predictions(df: DataFrame, path: str) -> None:
+    """user_id, business_id, prediction of (user, item, prediction), by both keys."""
+    write_csv(df.select(F.col("user").alias("user_id"), F.col("item").alias("business_id"), "prediction").orderBy("user_id", "business_id"), path)
+
+
+def write_timed(df: DataFrame, time: str, names: dict[str, str], path: str) -> None:
+    """A stream's results as one CSV file: Time and the columns named, in order of time."""
+    columns = [F.date_format(time, "yyyy-MM-dd HH:mm:ss").alias("Time"), *[F.col(old).alias(new) for old, new in names.items()]]
+    write_csv(df.orderBy(time).select(*columns), path, single=True)
+
+
+def console(df: DataFrame, checkpoint: str, **trigger):
+    """Starts a stream that prints each batch."""
+    return df.writeStream.outputMode("update").format("console").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def append_batches(df: DataFrame, path: str, checkpoint: str, **trigger):
     """Starts a stream that appends each batch's rows as headered CSV; {} runs what is there and stops."""
     return df.writeStream.outputMode("append").format("csv").option("header", True).option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -35,24 +35,25 @@ def bloom_stream(stream: DataFrame, state: str, checkpoint: str, *, element: str
         spark = rows.sparkSession
         known = _before(spark, f"{state}/elements", batch, "e string, f bigint, fp boolean")
         new = rows.where(F.col(element).isNotNull() & F.col(order).isNotNull()).groupBy(F.col(element).alias("e")).agg(F.min(order).cast("bigint").alias("f")).join(known.select("e"), "e", "left_anti")
-        spots = lambda df: df.select("e", "f", F.explode(F.array_distinct(string_hashes(F.col("e"), bits))).alias("bit"))
-        own = spots(new)
-        since = own.select("bit", "f").unionByName(spots(known.select("e", "f")).select("bit", F.lit(-(1 << 62)).alias("f"))).groupBy("bit").agg(F.min("f").alias("since"))
+        own = new.select("e", "f", F.explode(F.array_distinct(string_hashes(F.col("e"), bits))).alias("bit"))
+        before = _before(spark, f"{state}/bits", batch, "bit bigint").select("bit", F.lit(-(1 << 62)).alias("f"))  # at most `bits` rows in all
+        since = own.select("bit", "f").unionByName(before).groupBy("bit").agg(F.min("f").alias("since"))
         fresh = own.join(F.broadcast(since), "bit").groupBy("e", "f").agg(F.bool_and(F.col("since") < F.col("f")).alias("fp"))
         fresh.write.mode("overwrite").parquet(f"{state}/elements/batch={batch}")
-        spark.range(1).select(F.lit(0).alias("z")).write.mode("overwrite").parquet(f"{state}/batches/batch={batch}")
+        own.select(F.col("bit").cast("bigint")).distinct().join(before.select("bit"), "bit", "left_anti").write.mode("overwrite").parquet(f"{state}/bits/batch={batch}")
+        spark.range(1).select(F.current_timestamp().alias("time")).write.mode("overwrite").parquet(f"{state}/batches/batch={batch}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def bloom_rates(spark: SparkSession, state: str) -> DataFrame:
-    """(batch, fp, tn, fpr), counts up to the end of each batch; fpr is null before the first element."""
+    """(batch, time, fp, tn, fpr), counts up to the end of each batch; fpr is null before the first element."""
     from pyspark.sql import Window
 
-    every = spark.read.schema("z int, batch bigint").parquet(f"{state}/batches").select("batch").distinct()
+    every = spark.read.schema("time timestamp, batch bigint").parquet(f"{state}/batches").groupBy("batch").agg(F.max("time").alias("time"))
     each = spark.read.schema("e string, f bigint, fp boolean, batch bigint").parquet(f"{state}/elements").groupBy("batch").agg(F.count_if("fp").alias("fp"), F.count_if(~F.col("fp")).alias("tn"))
     upto = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    out = every.join(each, "batch", "left").select("batch", F.sum(F.coalesce("fp", F.lit(0))).over(upto).alias("fp"), F.sum(F.coalesce("tn", F.lit(0))).over(upto).alias("tn"))
+    out = every.join(each, "batch", "left").select("batch", "time", F.sum(F.coalesce("fp", F.lit(0))).over(upto).alias("fp"), F.sum(F.coalesce("tn", F.lit(0))).over(upto).alias("tn"))
     return out.withColumn("fpr", F.try_divide(F.col("fp"), F.col("fp") + F.col("tn")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from orebody.operators import graph, sketches
 from orebody.sources import readers, sinks
+from orebody.streaming import reservoir
 from orebody.streaming import sketches as streams
 from tests.conftest import tuples
 
@@ -45,6 +46,44 @@ def test_reservoir_stream(spark, tmp_path, pieces):
     assert tuples(streams.reservoir_rows(spark, str(tmp_path / "state"), schema)) == tuples(sketches.hashed_sample(whole, "seq", 7))
 
 
+def test_bloom_stream_goes_on_after_a_restart(spark, tmp_path, pieces):
+    """The second start sees only the new files, the counts go on, and each batch has its time."""
+    stream, _, schema = pieces
+    form = {"element": "state", "order": "seq"}
+    streams.bloom_stream(stream, str(tmp_path / "state"), str(tmp_path / "cp"), **form).awaitTermination(120)
+    spark.createDataFrame([(200 + k, f"new{k}", datetime(2024, 2, 1)) for k in range(9)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    streams.bloom_stream(stream, str(tmp_path / "state"), str(tmp_path / "cp"), **form).awaitTermination(120)
+    whole = spark.read.parquet(str(tmp_path / "in")).withColumn("b", F.lit(0))
+    last = streams.bloom_rates(spark, str(tmp_path / "state")).orderBy(F.desc("batch")).first()
+    batch = sketches.bloom_error_rate(whole, element="state", order="seq", batch="b").first()
+    assert (last.fp, last.tn) == (batch.fp, batch.tn) and last.time is not None
+    assert spark.read.parquet(str(tmp_path / "state" / "bits")).count() <= 200
+    sinks.write_timed(streams.bloom_rates(spark, str(tmp_path / "state")), "time", {"fpr": "FPR"}, str(tmp_path / "t.csv"))
+    assert next((tmp_path / "t.csv").glob("*.csv")).read_text().startswith("Time,FPR\n20")
+
+
+def test_algorithm_r_goes_on_after_a_restart(spark, tmp_path):
+    """The reservoir fills, keeps its size, and the counts are those of the records in it."""
+    schema = "id bigint, tags array<string>"
+
+    def add(ids):
+        spark.createDataFrame([*((i, [f"t{i % 4}", f"x{i}"]) for i in ids), (None, ["no"]), (-1, []), (-2, None), (-3, [None])], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = readers.parquet_stream(spark, str(tmp_path / "in"), schema)
+        counts = reservoir.reservoir_counts(stream, key="id", tags="tags", size=20)
+        reservoir.write_counts(counts, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+        rows = spark.read.parquet(str(tmp_path / "out"))
+        seen = rows.agg(F.max("seen")).first()[0]
+        return seen, {r.tag: r.n for r in rows.where(F.col("seen") == seen).collect()}
+
+    seen, counts = add(range(12))
+    assert seen == 12 and sum(n for t, n in counts.items() if t[0] == "t") == 12
+    seen, counts = add(range(12, 400))
+    kept = {int(t[1:]) for t in counts if t[0] == "x"}
+    assert seen == 400 and len(kept) == 20 and sum(n for t, n in counts.items() if t[0] == "t") == 20
+    assert len([i for i in kept if i >= 12]) >= 10  # 19.4 are expected
+    assert {t: n for t, n in counts.items() if t[0] == "t"} == {f"t{k}": n for k in range(4) if (n := sum(i % 4 == k for i in kept))}
+
+
 def test_append_sink(spark, tmp_path, pieces):
     stream, whole, _ = pieces
     sinks.append_batches(stream.select("seq", "state"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
