@@ -14,12 +14,15 @@ MIN_COUNT = 8
 FEATURES = ["average_stars", "u_review_count", "useful", "funny", "cool", "fans", "b_stars", "b_review_count", "latitude", "longitude", "sentiment"]
 
 
-def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.newest_per_key(table(spark, sf_dir, "users"), "user_id", "review_count", ["name", "review_count", "yelping_since", "useful", "funny", "cool", "fans", "average_stars"])
+def users(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The newest row of each user: `columns`, or all that features need; only they are read."""
+    every = ["name", "review_count", "yelping_since", "useful", "funny", "cool", "fans", "average_stars"]
+    return explore.newest_per_key(table(spark, sf_dir, "users"), "user_id", "review_count", list(columns) or every)
 
 
-def businesses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return explore.newest_per_key(table(spark, sf_dir, "business"), "business_id", "loaded_at", ["state", "stars", "review_count", "latitude", "longitude"])
+def businesses(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    every = ["state", "stars", "review_count", "latitude", "longitude"]
+    return explore.newest_per_key(table(spark, sf_dir, "business"), "business_id", "loaded_at", list(columns) or every)
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,27 +43,27 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_totals(spark, d):
-    return explore.column_totals(users(spark, d), "review_count").select(F.col("n_rows").alias("n_users"), F.col("total").alias("n_reviews"))
+    return explore.column_totals(users(spark, d, "review_count"), "review_count").select(F.col("n_rows").alias("n_users"), F.col("total").alias("n_reviews"))
 
 
 def avg_reviews(spark, d):
-    return explore.column_totals(users(spark, d), "review_count").select(F.round("mean", 6).alias("avg_reviews"))
+    return explore.column_totals(users(spark, d, "review_count"), "review_count").select(F.round("mean", 6).alias("avg_reviews"))
 
 
 def distinct_names(spark, d):
-    return explore.distinct_count(users(spark, d), "name").toDF("n_names")
+    return explore.distinct_count(users(spark, d, "name"), "name").toDF("n_names")
 
 
 def joined_in_year(spark, d):
-    return explore.count_containing(users(spark, d), "yelping_since", YEAR).toDF("n_users")
+    return explore.count_containing(users(spark, d, "yelping_since"), "yelping_since", YEAR).toDF("n_users")
 
 
 def top_names(spark, d):
-    return explore.top_groups(users(spark, d), "name")
+    return explore.top_groups(users(spark, d, "name"), "name")
 
 
 def top_reviewers(spark, d):
-    return explore.top_rows(users(spark, d), "user_id", "review_count")
+    return explore.top_rows(users(spark, d, "review_count"), "user_id", "review_count")
 
 
 def partition_profile(spark, d):
@@ -68,7 +71,7 @@ def partition_profile(spark, d):
 
 
 def state_avg(spark, d):
-    return explore.mean_by_group(reviews(spark, d), businesses(spark, d), "business_id", "state", "stars").select("state", F.round("mean", 6).alias("stars"))
+    return explore.mean_by_group(reviews(spark, d), businesses(spark, d, "state"), "business_id", "state", "stars").select("state", F.round("mean", 6).alias("stars"))
 
 
 def rating_report(spark, d):

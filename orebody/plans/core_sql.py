@@ -12,6 +12,10 @@ def _newest(table: str, key: str, newest: str, columns: str) -> str:
     return f"(SELECT {key}, {columns} FROM {table} WHERE {key} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {order}) = 1)"
 
 
+def _users(columns: str) -> str:
+    return f"WITH u AS {_newest('users', 'user_id', 'review_count', columns)}"
+
+
 U = f"u AS {_newest('users', 'user_id', 'review_count', 'name, review_count, yelping_since, useful, funny, cool, fans, average_stars')}"
 V = f"v AS (SELECT review_id, user_id AS u, business_id AS i, stars FROM {_newest('review', 'review_id', 'loaded_at', 'user_id, business_id, stars')})"
 R = "r AS (SELECT user_id AS u, business_id AS i, avg(stars) AS r FROM yelp_train WHERE user_id IS NOT NULL AND business_id IS NOT NULL AND stars IS NOT NULL GROUP BY 1, 2)"
@@ -76,13 +80,13 @@ TAGS = "SELECT lower(trim(w.h.text)) AS tag, count(*) AS n FROM {}, unnest(hasht
 TOP5 = "SELECT tag, n, rank FROM (SELECT tag, n, rank() OVER (ORDER BY n DESC)::INT AS rank FROM ({})) WHERE rank <= 5"
 
 SQL = {
-    "user_totals": f"WITH {U} SELECT count(*) AS n_users, sum(review_count)::BIGINT AS n_reviews FROM u",
-    "avg_reviews": f"WITH {U} SELECT round(avg(review_count), 6) AS avg_reviews FROM u",
-    "distinct_names": f"WITH {U} SELECT count(DISTINCT name) AS n_names FROM u",
-    "joined_in_year": f"WITH {U} SELECT count(*) FILTER (contains(yelping_since, '2015')) AS n_users FROM u",
-    "top_names": f"WITH {U} SELECT name, count(*) AS n FROM u WHERE name IS NOT NULL GROUP BY name ORDER BY n DESC, name LIMIT 10",
-    "top_reviewers": f"WITH {U} SELECT user_id, review_count FROM u WHERE review_count IS NOT NULL ORDER BY review_count DESC, user_id LIMIT 10",
-    "state_avg": f"WITH {V}, b AS (SELECT business_id AS i, state FROM {_newest('business', 'business_id', 'loaded_at', 'state, stars, review_count, latitude, longitude')}) SELECT state, round(avg(stars), 6) AS stars FROM v JOIN b USING (i) WHERE state IS NOT NULL AND stars IS NOT NULL GROUP BY state",
+    "user_totals": f"{_users('review_count')} SELECT count(*) AS n_users, sum(review_count)::BIGINT AS n_reviews FROM u",
+    "avg_reviews": f"{_users('review_count')} SELECT round(avg(review_count), 6) AS avg_reviews FROM u",
+    "distinct_names": f"{_users('name')} SELECT count(DISTINCT name) AS n_names FROM u",
+    "joined_in_year": f"{_users('yelping_since')} SELECT count(*) FILTER (contains(yelping_since, '2015')) AS n_users FROM u",
+    "top_names": f"{_users('name')} SELECT name, count(*) AS n FROM u WHERE name IS NOT NULL GROUP BY name ORDER BY n DESC, name LIMIT 10",
+    "top_reviewers": f"{_users('review_count')} SELECT user_id, review_count FROM u WHERE review_count IS NOT NULL ORDER BY review_count DESC, user_id LIMIT 10",
+    "state_avg": f"WITH {V}, b AS (SELECT business_id AS i, state FROM {_newest('business', 'business_id', 'loaded_at', 'state')}) SELECT state, round(avg(stars), 6) AS stars FROM v JOIN b USING (i) WHERE state IS NOT NULL AND stars IS NOT NULL GROUP BY state",
     "rating_report": f"WITH {BIAS}, e AS (SELECT abs(least(5.0, greatest(1.0, raw)) - stars) AS e FROM p) SELECT " + ", ".join(f"count(*) FILTER (e >= {k} AND e < {k + 1}) AS errors_{k}_{k + 1}" for k in range(4)) + ", count(*) FILTER (e >= 4) AS errors_4_up, round(sqrt(avg(e * e)), 6) AS rmse FROM e",
     "pair_precision_recall": f"WITH {LSH_SIM}, ex AS (SELECT a.s AS id_1, b.s AS id_2 FROM x a JOIN n na ON na.s = a.s JOIN x b ON a.t = b.t AND a.s < b.s JOIN n nb ON nb.s = b.s GROUP BY 1, 2, na.n, nb.n HAVING 2 * count(*) >= na.n + nb.n - count(*)), k AS (SELECT (SELECT count(*) FROM sim) AS f, (SELECT count(*) FROM ex) AS t, (SELECT count(*) FROM sim JOIN ex USING (id_1, id_2)) AS h) SELECT f AS n_found, t AS n_true, round(h / f, 6) AS precision, round(h / t, 6) AS recall FROM k",
     "jaccard_exact": f"WITH {_similar(JACCARD, 0.5)} {PAIRS}",

@@ -144,11 +144,17 @@ def test_opinion(rows):
     assert got[None] == got["the chair"] == 0
 
 
+def test_newest_row_is_whole(rows):
+    df = rows([("a", 1, "z", 9.0), ("a", 2, None, 3.0), ("a", 2, "b", None), ("b", None, "x", 1.0), ("b", 5, None, None), (None, 9, "n", 1.0), ("c", None, None, 2.0)], "k string, t int, name string, stars double")
+    assert tuples(explore.newest_per_key(df, "k", "t", ["name", "stars"])) == [("a", "b", None), ("b", None, None), ("c", None, 2.0)]
+    assert explore.newest_per_key(df.where("false"), "k", "t", ["name"]).count() == 0
+
+
 def test_regression_hears_negation(rows, spark, tmp_path):
     from orebody.plans import core
 
     rows([("u", "n", 9, "2015", 1, 1, 1, 1, 4.0)], "user_id string, name string, review_count long, yelping_since string, useful long, funny long, cool long, fans long, average_stars double").write.parquet(f"{tmp_path}/users.parquet")
-    rows([("i", "NV", 4.0, 9, 1.0, 1.0)], "business_id string, state string, stars double, review_count long, latitude double, longitude double").write.parquet(f"{tmp_path}/business.parquet")
+    rows([("i", "NV", 4.0, 9, 1.0, 1.0, None)], "business_id string, state string, stars double, review_count long, latitude double, longitude double, loaded_at timestamp_ntz").write.parquet(f"{tmp_path}/business.parquet")
     rows([(1, "tip", "not good", "u", "i", None)], "doc_id long, source string, text string, user_id string, business_id string, review_id string").write.parquet(f"{tmp_path}/documents.parquet")
     got = core._features(spark, str(tmp_path), rows([("u", "i", 4.0)], "user string, item string, rating double")).first()
     assert got.sentiment < 0

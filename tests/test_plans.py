@@ -29,7 +29,7 @@ def test_columns_are_pruned(spark, capsys):
     for columns in read_columns(plan(spatial.p6_found(spark, DATA), capsys)):
         assert columns == {"business_id", "latitude", "longitude"}
     tables = read_columns(plan(core.state_avg(spark, DATA), capsys))
-    assert {"business_id", "state"} in tables and len(tables) == 2
+    assert {"business_id", "state", "loaded_at"} in tables and len(tables) == 2
 
 
 def test_filters_reach_the_scan(spark, capsys):
