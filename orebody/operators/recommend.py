@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from orebody.functions.skew import split_join
 from orebody.operators.explore import dense_index
 from orebody.operators.metrics import clamp
-from orebody.session import cut
+from orebody.session import cut, written
 
 BASE = 3.0
+#: Most bytes of item names that are broadcast, and how many a name may take.
+BROADCAST_BYTES, ID_BYTES = 32 << 20, 128
 
 
 def one_rating_per_pair(df: DataFrame, user: str, item: str, rating: str) -> DataFrame:
@@ -78,10 +80,13 @@ def item_based(ratings: DataFrame, keys: DataFrame, similar: DataFrame) -> DataF
     """(user, item, prediction) from the user's own ratings of items similar to the key's.
 
     `similar` has pairs (id_1, id_2); weights are Pearson correlations over common users, of which
-    only positive ones count; without any, the base rating.
+    only positive ones count; without any, the base rating. Only ratings of items that are similar to
+    some other take part, so they are picked out first: `ratings` is read once and needs no cut.
     """
-    keys = keys.select("user", "item").where(F.col("user").isNotNull() & F.col("item").isNotNull()).distinct()
-    near = similar.select(F.col("id_1").alias("a"), F.col("id_2").alias("b")).unionByName(similar.select(F.col("id_2").alias("a"), F.col("id_1").alias("b"))).distinct()
+    keys = written(keys.select("user", "item").where(F.col("user").isNotNull() & F.col("item").isNotNull()).distinct())
+    near = cut(similar.select(F.col("id_1").alias("a"), F.col("id_2").alias("b")).unionByName(similar.select(F.col("id_2").alias("a"), F.col("id_1").alias("b"))).distinct())
+    items = near.select(F.col("a").alias("item")).distinct()
+    ratings = cut(ratings.join(F.broadcast(items) if items.count() * ID_BYTES <= BROADCAST_BYTES else items, "item", "left_semi").select("user", "item", "rating"))
     both = near.join(ratings.select(F.col("item").alias("a"), "user", F.col("rating").alias("x")), "a").join(ratings.select(F.col("item").alias("b"), "user", F.col("rating").alias("y")), ["b", "user"])
     sums = both.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
     w = sums.select(F.col("a").alias("item"), "b", pearson(*[F.col(c) for c in ("n", "x", "y", "xy", "xx", "yy")]).alias("w")).where(F.col("w") > 0)

@@ -112,6 +112,35 @@ def test_similar_pairs_exact_and_lsh(rows):
     assert found <= want and len(found) >= 0.95 * len(want)
 
 
+def sets_frame(rows):
+    rng = random.Random(4)
+    sets = {}
+    for s in range(40):
+        base = set(rng.sample(range(400), rng.randint(3, 12)))
+        sets[f"s{s}a"] = base
+        sets[f"s{s}b"] = {x for x in base if rng.random() < 0.75} | {rng.randrange(400)}
+    return sets, rows([(s, t) for s, ts in sets.items() for t in ts], "s string, t int")
+
+
+def test_lsh_pairs_do_not_list_all_candidates(rows, monkeypatch):
+    sets, df = sets_frame(rows)
+    listed = {(r.id_1, r.id_2) for r in similarity.lsh_candidates(similarity.minhash_signatures(df, record="s", token="t")).collect()}
+    want = {(a, b) for a, b in listed if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    assert len(listed) > 3 * len(want) > 0
+    monkeypatch.setattr(similarity, "lsh_candidates", lambda *a: pytest.fail("candidates are a fixed share of all pairs"))
+    assert {(r.id_1, r.id_2) for r in similarity.lsh_similar_pairs(df, record="s", token="t").collect()} == want
+
+
+def test_item_based_keeps_ratings_of_similar_items_only(rows, ratings, monkeypatch):
+    kept = []
+    monkeypatch.setattr(recommend, "cut", lambda df: kept.append(df) or df)
+    keys = rows([("u00", "i03"), ("u01", "i04"), ("u02", "hub"), ("new", "i03")], "user string, item string")
+    got = recommend.item_based(frame(rows, ratings), keys, rows([("i03", "i04", 0.5)], "id_1 string, id_2 string, similarity double"))
+    assert got.count() == 4
+    read = [df.select("item").distinct().collect() for df in kept if "rating" in df.columns]
+    assert read and all({r.item for r in items} == {"i03", "i04"} for items in read)
+
+
 @pytest.fixture(scope="module")
 def network():
     rng = random.Random(11)
