@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from orebody.functions.skew import split_join
 from orebody.operators.explore import dense_index
 from orebody.operators.metrics import clamp
+from orebody.operators.user_blocks import neighbour_sums
 from orebody.session import cut, written
 
 BASE = 3.0
@@ -65,15 +66,13 @@ def user_based(ratings: DataFrame, keys: DataFrame, *, clamped: bool = True) ->
 
     The user's mean plus the weighted mean of how the item's raters deviate from theirs, weights
     being Pearson correlations; the user's mean if they sum to 0, the base rating for an unknown user.
+    Pairs of users are worked off by blocks (`user_blocks`). `ratings` is read once and needs no cut.
     """
-    keys = keys.select("user", "item").where(F.col("user").isNotNull() & F.col("item").isNotNull()).distinct()
-    means = group_means(ratings, "user").select(F.col("user"), F.col("mean"))
-    w = pearson_pairs(ratings, of="user", over="item", left=keys).where(F.col("w") != 0)
-    deviations = ratings.join(means, "user").select(F.col("user").alias("b"), "item", (F.col("rating") - F.col("mean")).alias("d"))
-    met = keys.join(w.select(F.col("a").alias("user"), "b", "w"), "user").join(deviations, ["b", "item"])
-    sums = met.groupBy("user", "item").agg(F.sum(F.col("d") * F.col("w")).alias("top"), F.sum(F.abs("w")).alias("below"))
+    keys = written(keys.select("user", "item").where(F.col("user").isNotNull() & F.col("item").isNotNull()).distinct())
+    sums = neighbour_sums(ratings, keys)
     p = F.coalesce(F.col("mean") + F.coalesce(F.try_divide("top", "below"), F.lit(0.0)), F.lit(BASE))
-    return keys.join(means, "user", "left").join(sums, ["user", "item"], "left").select("user", "item", (clamp(p) if clamped else p).alias("prediction"))
+    full = keys.withColumns({"u": F.xxhash64("user"), "i": F.xxhash64("item")}).join(sums, ["u", "i"], "left")
+    return full.select("user", "item", (clamp(p) if clamped else p).alias("prediction"))
 
 
 def item_based(ratings: DataFrame, keys: DataFrame, similar: DataFrame) -> DataFrame:

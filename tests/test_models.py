@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from orebody.operators import graph, recommend, similarity
+from orebody.operators import graph, recommend, similarity, user_blocks
 from tests.conftest import tuples
 
 
@@ -141,6 +141,26 @@ def test_item_based_keeps_ratings_of_similar_items_only(rows, ratings, monkeypat
     assert read and all({r.item for r in items} == {"i03", "i04"} for items in read)
 
 
+def test_user_based_by_blocks_writes_no_pairs(rows, ratings, monkeypatch):
+    df = frame(rows, ratings)
+    w = {(r.a, r.b): r.w for r in recommend.pearson_pairs(df, of="user", over="item").collect()}
+    own = defaultdict(list)
+    for (u, _), r in ratings.items():
+        own[u].append(r)
+    mean = {u: sum(r) / len(r) for u, r in own.items()}
+    keys = [(f"u{u:02}", i) for u in range(0, 25, 2) for i in ("hub", "i03", "i07", "gone")] + [("new", "hub")]
+    want = {}
+    for u, i in keys:
+        met = [(w.get((u, b), 0.0), ratings[b, i] - mean[b]) for b in mean if (b, i) in ratings]
+        below = sum(abs(v) for v, _ in met)
+        want[u, i] = mean.get(u, 3.0) + (sum(v * d for v, d in met) / below if below else 0.0)
+    monkeypatch.setattr(recommend, "pearson_pairs", lambda *a, **k: pytest.fail("a row a pair of users"))
+    for sizes in ({}, {"block": 15, "room": 4}):
+        monkeypatch.setattr(recommend, "neighbour_sums", lambda r, k, s=sizes: user_blocks.neighbour_sums(r, k, **s))
+        got = {(r.user, r.item): r.prediction for r in recommend.user_based(df, rows(keys, "user string, item string"), clamped=False).collect()}
+        assert got == pytest.approx(want, abs=1e-7)
+
+
 @pytest.fixture(scope="module")
 def network():
     rng = random.Random(11)
