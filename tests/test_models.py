@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orebody.operators import graph, recommend, similarity, user_blocks
+from orebody.plans import core
 from tests.conftest import tuples
 
 
@@ -131,6 +132,19 @@ def test_lsh_pairs_do_not_list_all_candidates(rows, monkeypatch):
     assert {(r.id_1, r.id_2) for r in similarity.lsh_similar_pairs(df, record="s", token="t").collect()} == want
 
 
+def test_precision_and_recall_find_similar_pairs_once(spark, rows, tmp_path, monkeypatch):
+    sets, df = sets_frame(rows)
+    df.selectExpr("s AS business_id", "cast(t AS string) AS user_id", "1.0D AS stars").write.parquet(str(tmp_path / "yelp_train.parquet"))
+    calls, real = [], similarity.similar_pairs
+    monkeypatch.setattr(similarity, "similar_pairs", lambda *a, **k: calls.append(k) or real(*a, **k))
+    got = core.pair_precision_recall(spark, str(tmp_path)).first()
+    names = sorted(sets)
+    true = sum(2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b]) for k, a in enumerate(names) for b in names[k + 1 :])
+    found = core.lsh_jaccard(spark, str(tmp_path)).count()
+    assert (got.n_true, got.n_found, got.precision, got.recall) == (true, found, 1.0, round(found / true, 6))
+    assert len(calls) == 2  # one for each query
+
+
 def test_item_based_keeps_ratings_of_similar_items_only(rows, ratings, monkeypatch):
     kept = []
     monkeypatch.setattr(recommend, "cut", lambda df: kept.append(df) or df)
